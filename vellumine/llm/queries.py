@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import mixing, packing, splitting
+from . import mixing, packing, sentences, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,15 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_chunks(table(spark, sf_dir, "chunk"))
 
 
+def p3_units(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
+    chunk, result = table(spark, sf_dir, "chunk"), table(spark, sf_dir, "chunk_result")
+    return sentences.sentences(chunk, "text", "chunk_uid", text=text).unionByName(sentences.sentences(result, "humanized_text", "result_id", F.col("ingested_at"), text=text))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_units(spark, sf_dir, text=False).select("field", "row_id", "start_pos")
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -32,7 +41,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(p8_order(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_containers, p7_fill, p8_order, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_units, p7_containers, p7_fill, p8_order, p8_shares)}
 
 SQL: dict[str, str] = {
     "p1_found": r"""
