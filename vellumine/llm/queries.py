@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import mixing, packing, sentences, splitting
+from . import lookalikes, mixing, packing, sentences, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_units(spark, sf_dir, text=False).select("field", "row_id", "start_pos")
 
 
+def p4_forms(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
+    chunk, result = table(spark, sf_dir, "chunk"), table(spark, sf_dir, "chunk_result")
+    counts = lookalikes.learn(chunk.select(F.col("text").alias("t")).unionByName(result.select(F.col("humanized_text").alias("t"))))
+    a = lookalikes.forms(chunk, "text", "chunk_uid", counts, F.lit(None).cast("timestamp"), text)
+    b = lookalikes.forms(result, "humanized_text", "result_id", counts, F.col("ingested_at").cast("timestamp"), text)
+    return a.unionByName(b)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.same_look(p4_forms(spark, sf_dir, text=False))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -41,7 +53,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(p8_order(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_units, p7_containers, p7_fill, p8_order, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_units, p4_found, p4_forms, p7_containers, p7_fill, p8_order, p8_shares)}
 
 SQL: dict[str, str] = {
     "p1_found": r"""

@@ -41,7 +41,7 @@ _FENCE = re.compile(r"\s*(?:```+|~~~+)\s*\w*\s*$")
 _CAPTION = re.compile(r"(?:figures?|fig\.|tables?|abbildung|abb\.|tabelle|figura|tabla|cuadro|tableau|рис\.|рисунок|таблица|图|表|図|चित्र|शکل|جدول|ตาราง|ภาพ)\s*\d+(?:[.\-]\d+)*\s?[:：.]", re.I)
 _ENTRY = re.compile(rf"(?:\[\d+\]\s*)?[^\W\d_][\w'’\-{INVISIBLE}]*,\s*[^\W\d_][{INVISIBLE}]?\.[^\n]{{0,160}}?[(（]\s?[12１２]\d\d\d[a-z]?\s?[)）]", re.S)
 _TERMS = ".!?…。！？｡．؟।॥۔።፧፨။៕᠃᠉‼⁇⁈⁉﹖﹗"
-_END = re.compile(rf"[{re.escape(_TERMS)}]+(?:[{INVISIBLE}]*(?:[\"'”’“»」』）)\]}}］】〉》]|[ \xa0  ]»))*")
+_END = re.compile(rf"[{re.escape(_TERMS)}]+(?:[{INVISIBLE}]*(?:[\"'”’“»」』）)\]}}］】〉》]|[ \xa0\u2009\u202f]»))*(?:[{INVISIBLE}]+(?=\s|$))?")
 _STRONG = frozenset("。！？｡؟।॥۔።፧፨။។៕‼⁇⁈⁉﹖﹗")
 _OPEN = frozenset("\"'“„‚‘«‹¿¡([{（「『［【〈《«")
 _TOKEN = re.compile(rf"[\w.\-ª̀-ͯؐ-ًؚ-ٟऀ-ॣ{INVISIBLE}]+$")
@@ -124,7 +124,7 @@ def _breaks(text: str, m: re.Match, start: int, stop: int, lower_case: bool) ->
         return False
     if first in _STRONG or first in "!?":
         return True
-    if first == "…" or len(marks.rstrip("\"'”’“»」』）)]} \xa0 ")) > 1:
+    if first == "…" or len(marks.rstrip("\"'”’“»」』）)]} \xa0\u2009\u202f")) > 1:
         return case != "digit" and not lower_case and not (case == "open" and nxt in "([")
     if closed:
         inner = text[m.start() + 1 : i].strip()
