@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import lookalikes, mixing, packing, sentences, splitting
+from . import lookalikes, mixing, packing, sentences, splitting, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.same_look(p4_forms(spark, sf_dir, text=False))
 
 
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "chunk_result"), order=F.col("ingested_at"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_records(spark, sf_dir).where("cut").select(F.col("row_id").alias("result_id"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_rates(p5_records(spark, sf_dir))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -53,7 +65,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(p8_order(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_units, p4_found, p4_forms, p7_containers, p7_fill, p8_order, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_units, p4_found, p4_forms, p5_found, p5_records, p5_rates, p7_containers, p7_fill, p8_order, p8_shares)}
 
 SQL: dict[str, str] = {
     "p1_found": r"""
