@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import lookalikes, mixing, packing, sentences, splitting, truncation
+from . import lookalikes, mixing, packing, sentences, spans, splitting, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,18 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(p5_records(spark, sf_dir))
 
 
+def p6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "chunk_result"), ["original_text", "humanized_text"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_spans(spark, sf_dir).select("field", F.col("row_id").alias("result_id")).distinct()
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_report(table(spark, sf_dir, "chunk_result"), p6_spans(spark, sf_dir), ["original_text", "humanized_text"])
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -65,7 +77,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(p8_order(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_units, p4_found, p4_forms, p5_found, p5_records, p5_rates, p7_containers, p7_fill, p8_order, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_units, p4_found, p4_forms, p5_found, p5_records, p5_rates, p6_found, p6_spans, p6_shares, p7_containers, p7_fill, p8_order, p8_shares)}
 
 SQL: dict[str, str] = {
     "p1_found": r"""
