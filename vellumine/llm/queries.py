@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import lookalikes, mixing, packing, sentences, spans, splitting, truncation
+from . import lookalikes, mixing, packing, quality, sentences, spans, splitting, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(p8_order(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_units, p4_found, p4_forms, p5_found, p5_records, p5_rates, p6_found, p6_spans, p6_shares, p7_containers, p7_fill, p8_order, p8_shares)}
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_statistics(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_units, p4_found, p4_forms, p5_found, p5_records, p5_rates, p6_found, p6_spans, p6_shares, p7_containers, p7_fill, p8_order, p8_shares, p9_found, p9_statistics)}
 
 SQL: dict[str, str] = {
     "p1_found": r"""
