@@ -41,12 +41,10 @@ _CLOSED = re.compile(r"[.!?…。！？।؟:：]['\"”’“»」』）)\]]*\s
 _PAIR = re.compile(r"\s*\S.{0,40}?\s?[=:]\s?[-+−]?\d[\d.,]*(?:\s?[%°\w]{1,4})?\s*$")
 _NUMBER = re.compile(r"[-+−±]?\d[\d.,]*%?$|n/a$|±$|-$|NA$|NaN$")
 _GAP = re.compile(r"\S(?: {3,}|\t)(?=\S)|\t")
-_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏ'’-])*")
+_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e'’-])*")
 _UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|&[a-z]{2,8};|&#\d+;")
 _MOJIBAKE = re.compile(r"[Ã-ô][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|Â[\x80-\xbf]|[\x80-\x9f]|�")
-_SIGN = re.compile(r"[^\w\s\u0300-\u036f\u0900-\u097f\u0e00-\u0e7f]|_")
-_DIGIT = re.compile(r"\d")
 # words that no writing has: capitals within, digits or signs grown together with letters, marks before a word
 _ODD = re.compile(r"[a-zà-ÿ][A-Z]|[^\W\d_]\d[^\W\d_]|[^\W\d_][~^|\\{}@]|[~^|\\{}@][^\W\d_]|(?<!\S)[,.;:!?%)](?=\S)|(?<!\S)[A-Za-z0-9+/=]{25,}(?!\S)")
 
@@ -68,7 +66,7 @@ def _rows(lines: list[str]) -> list[bool]:
         s = x.strip()
         if s.count("|") >= 2 or (s.count("|") == 1 and s.startswith("|")):
             flags[i] = True
-        elif "\t" in s or len(_GAP.findall(s)) >= 1:
+        elif "\t" in s or ("   " in s and _GAP.search(s)):
             flags[i] = True
         elif _PAIR.match(s) and not _ITEM.match(s):
             flags[i] = len(s) < 60
@@ -77,7 +75,7 @@ def _rows(lines: list[str]) -> list[bool]:
             if len(parts) >= 2 and all(_NUMBER.match(p) for p in parts):
                 flags[i] = True
     for mark in ",;":
-        counts = [len(re.findall(rf"{mark}(?! )", x)) if not flags[i] else 0 for i, x in enumerate(lines)]
+        counts = [0 if flags[i] else x.count(mark) - x.count(mark + " ") for i, x in enumerate(lines)]
         i = 0
         while i < len(lines):
             j = i
@@ -97,7 +95,7 @@ def _wrapped(lines: list[str]) -> bool:
 
 
 def _common(words: list[str]) -> float:
-    return sum(w in COMMON for w in words) / max(1, len(words))
+    return sum(map(COMMON.__contains__, words)) / max(1, len(words))
 
 
 def line_kinds(text: str) -> tuple[int, int, int, str]:
@@ -115,7 +113,7 @@ def line_kinds(text: str) -> tuple[int, int, int, str]:
         rows += sum(sizes[i] for i in range(len(lines)) if table[i])
         if not rest:
             continue
-        marked = [bool(_ITEM.match(lines[i]) or _LEADER.search(lines[i]) or _ENTRY.match(lines[i])) for i in rest]
+        marked = [bool(_ITEM.match(lines[i]) or _LEADER.search(lines[i][-100:]) or _ENTRY.match(lines[i])) for i in rest]
         # a lone numbered line in running text is no list; a wrapped item goes on in the lines below it
         inside = False
         plain: list[int] = []
@@ -131,19 +129,21 @@ def line_kinds(text: str) -> tuple[int, int, int, str]:
             continue
         body = [lines[i].strip() for i in plain]
         joined = " ".join(body)
-        gloss = [bool(_GLOSS.match(x)) and not _CLOSED.search(x) for x in body]
+        gloss = [bool(_GLOSS.match(x)) and not _CLOSED.search(x[-12:]) for x in body]
         if len(body) >= 2 and sum(gloss) > 0.7 * len(body) or (len(body) == 1 and gloss[0] and len(body[0]) < 90 and _common(_WORD.findall(body[0].lower())) < 0.25):
             items += sum(map(len, body))
             continue
-        stops = re.search(r"[。！？।]|[.!?](?:\s|$)\s*\S", joined[:-1]) or joined.endswith(("。", "！", "？", "।"))
-        parts = [p for p in re.split(r"\s*[;；、·•]\s*|,\s+|，", joined) if p]
-        if len(parts) >= 5 and len(joined) / len(parts) < 28 and not stops and len(re.findall(r"[;；、·•]", joined)) >= 0.7 * (len(parts) - 1) and _common(_WORD.findall(joined.lower())) < 0.12:
+        marks = sum(map(joined.count, ";；、·•"))
+        cuts = marks + joined.count(", ") + joined.count("，")
+        keys = cuts >= 4 and len(joined) < 28 * (cuts + 1)
+        stops = not keys or re.search(r"[。！？।]|[.!?](?:\s|$)\s*\S", joined[:-1]) or joined.endswith(("。", "！", "？", "।"))
+        if not stops and marks >= 0.7 * cuts and _common(_WORD.findall(joined.lower())) < 0.12:
             items += sum(map(len, body))
             continue
-        if len(parts) >= 6 and len(joined) / len(parts) < 22 and not stops and _common(_WORD.findall(joined.lower())) < 0.05 and len(body) == 1:
+        if not stops and cuts >= 5 and len(joined) < 22 * (cuts + 1) and _common(_WORD.findall(joined.lower())) < 0.05 and len(body) == 1:
             items += len(joined)
             continue
-        if len(body) >= 3 and not any(_CLOSED.search(x) for x in body) and max(map(len, body)) < 100:
+        if len(body) >= 3 and not any(_CLOSED.search(x[-12:]) for x in body) and max(map(len, body)) < 100:
             common = _common(_WORD.findall(joined.lower()))
             if not (_wrapped(body) and max(map(len, body)) >= 40 and common >= 0.22):
                 if common < 0.3 and sum(map(len, body)) / len(body) < 64:
@@ -164,7 +164,9 @@ def statistics(text: str | None) -> dict:
     n = max(1, len(text))
     solid = max(1, sum(map(len, text.split())))
     unspaced = 0 if plain else len(_UNSPACED.findall(text))
-    signs = len(_SIGN.findall(text)) / n
+    letters = sum(map(len, words))
+    digits = sum(map(text.count, "0123456789")) if plain else sum(map(str.isdigit, text))
+    signs = max(0, solid - letters - digits) / n  # what is neither white space nor part of a word or a number
     low = words if not items and not rows else _WORD.findall(left.lower())
     tokens = left.split()
     odd = len(_ODD.findall(left))  # places, more than one in some words
@@ -172,10 +174,10 @@ def statistics(text: str | None) -> dict:
     stats = {
         "chars": len(text),
         "words": len(words) + unspaced // 2,
-        "mean_word_length": round(sum(map(len, words)) / len(words), 3) if words else 0.0,
+        "mean_word_length": round(letters / len(words), 3) if words else 0.0,
         "symbol_ratio": round(signs, 4),
-        "digit_ratio": round(len(_DIGIT.findall(text)) / n, 4),
-        "closed_line_ratio": round(sum(bool(_CLOSED.search(x)) for x in lines) / len(lines), 4) if lines else 0.0,
+        "digit_ratio": round(digits / n, 4),
+        "closed_line_ratio": round(sum(bool(_CLOSED.search(x[-12:])) for x in lines) / len(lines), 4) if lines else 0.0,
         "bullet_line_ratio": round(sum(bool(_ITEM.match(x)) for x in lines) / len(lines), 4) if lines else 0.0,
         "common_ratio": round(_common(low), 4),
         "distinct_ratio": round(len(counts) / len(words), 4) if words else 1.0,
