@@ -42,10 +42,14 @@ def inversions(before: Column, after: Column) -> Column:
     return F.filter(pairs, lambda p: (p["a"] > p["b"]) & ~kept(p))
 
 
+def _check(name: str, kind: str, severity: str, exact: bool):
+    return lambda x: F.struct(F.lit(name).alias("type"), x.alias("original"), F.lit(severity).alias("severity"), _found(kind, x, exact).alias("found"))
+
+
 def checks(df: DataFrame, id_col: str, before: str, after: str, exact: bool = False) -> DataFrame:
     """A row per check: id, ``type``, ``original``, ``severity``, ``found``. Null texts count as empty."""
     base = df.select(id_col, F.coalesce(before, F.lit("")).alias("before_text"), F.coalesce(after, F.lit("")).alias("after_text")).withColumn("before", E.entities(F.col("before_text"))).withColumn("after", E.entities(F.col("after_text")))
-    items = F.flatten(F.array(*(F.transform(F.col(f"before.{kind}"), lambda x, n=name, k=kind, s=severity: F.struct(F.lit(n).alias("type"), x.alias("original"), F.lit(s).alias("severity"), _found(k, x, exact).alias("found"))) for name, kind, severity in RULES)))
+    items = F.flatten(F.array(*(F.transform(F.col(f"before.{kind}"), _check(name, kind, severity, exact)) for name, kind, severity in RULES)))
     turned = F.transform(inversions(F.col("before.citations"), F.col("after.citations")), lambda p: F.struct(F.lit("Citation Sequence Inversion").alias("type"), F.format_string("[%d] before [%d]", p["a"], p["b"]).alias("original"), F.lit("HIGH").alias("severity"), F.lit(False).alias("found")))
     return base.select(id_col, F.explode(F.concat(items, turned)).alias("c")).select(id_col, "c.*")
 

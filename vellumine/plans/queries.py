@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cleaning
+from . import cleaning, overlap
 
 QUERIES, SQL = {}, {}
-for _module in (cleaning,):
+for _module in (cleaning, overlap):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
