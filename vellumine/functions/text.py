@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -55,14 +56,19 @@ def percent(part: Column, whole: Column) -> Column:
     return one_decimal(100 * part.cast("long"), whole)
 
 
-@pandas_udf("string")
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+@functools.cache
+def _nfc():
+    """Made on first use, since workers import this module without a session."""
+
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return pandas_udf(compose, "string")
 
 
 def nfc(text: Column) -> Column:
     """Composed form; plain ASCII never leaves the JVM."""
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfc(text))
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfc()(text))
 
 
 def plain_spaces(text: Column) -> Column:

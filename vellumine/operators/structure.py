@@ -143,7 +143,8 @@ def captions_and_references(df: DataFrame, id_col: str, text: str = "text") -> D
     paras = df.select(id_col, F.explode(F.split(F.coalesce(text, F.lit("")), "\n\n")).alias("p")).withColumn("p", T.strip(F.col("p"))).where("p <> ''")
     own = F.array(*(F.when(F.col("p").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.lower(F.regexp_extract("p", pattern, 1)).alias("ref"), F.lit(True).alias("c"))) for kind, pattern in (("figure", P.FIGURE_CAPTION), ("table", P.TABLE_CAPTION))))
     mention = lambda stem: rf"(?iu){P.B}(?:{stem}){P.S}*({P.D}+[a-zA-Z]?(?:[-.]{P.D}+)?){P.B}"
-    refs = F.concat(*(F.transform(T.matches_of(F.col("p"), mention(stem), 1), lambda r, k=kind: F.struct(F.lit(k).alias("kind"), F.lower(r).alias("ref"), F.lit(False).alias("c"))) for kind, stem in (("figure", r"figure|fig\.?"), ("table", r"table|tbl\.?"))))
+    named = lambda kind: lambda r: F.struct(F.lit(kind).alias("kind"), F.lower(r).alias("ref"), F.lit(False).alias("c"))
+    refs = F.concat(*(F.transform(T.matches_of(F.col("p"), mention(stem), 1), named(kind)) for kind, stem in (("figure", r"figure|fig\.?"), ("table", r"table|tbl\.?"))))
     one = F.array_compact(F.slice(F.array_compact(own), 1, 1))
     rows = paras.select(id_col, F.explode(F.when(F.size(one) > 0, one).otherwise(refs)).alias("x")).select(id_col, "x.*").where("ref <> ''")
     return rows.groupBy(id_col, "kind", "ref").agg(F.bool_or("c").alias("captioned"), F.bool_or(~F.col("c")).alias("referenced"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cleaning, overlap
+from . import cleaning, documents, overlap
 
 QUERIES, SQL = {}, {}
-for _module in (cleaning, overlap):
+for _module in (cleaning, overlap, documents):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
