@@ -44,7 +44,7 @@ _KEPT = ("<super>", "<sub>", "<fraction>", "<circle>", "<font>")
 _IGNORED = re.compile(f"[{INVISIBLE}\\U000e0000-\\U000e0fff\\ufff0-\\ufff8]")
 _ALNUM = re.compile(r"[^\W_]")
 _MARKED = re.compile(r"([^\W\d_](?:[^\W\d_]|[̀-ͯ])*)")
-_SKIP = {0x17F, 0xAA, 0xBA}
+_SKIP = {0x17F, 0xAA, 0xBA, 0x3F2, 0x3F9}  # letters whose compatible form looks different
 
 
 class _Forms(dict):
@@ -124,6 +124,8 @@ class Reader(dict):
 
     def __missing__(self, token: str) -> str:
         out = self._best(token)
+        if len(token) > 64:  # kept are those that come again
+            return out
         if len(self) >= self.LIMIT:
             self.clear()
         self[token] = out
@@ -132,19 +134,28 @@ class Reader(dict):
     def _best(self, token: str) -> str:
         if not any(c in CLASSES for c in token):
             return token
-        # paths: of each last letter, the best score and reading; ties go to the first in the classes' order
-        paths: list[tuple[float, str, int, int]] = [(0.0, "", 0, -1)]
+        # of each letter that a place may hold: the best score so far, and which letter it came from
+        now: list[tuple[float, str, int, int]] = [(0.0, "", 0, -1)]
+        steps: list[tuple[list[str], list[int]]] = []
         for c in token:
-            if "̀" <= c <= "ͯ":  # a mark goes with its letter
-                paths = [(s, r + c, i, k) for s, r, i, k in paths]
+            if "\u0300" <= c <= "\u036f":  # a mark goes with its letter
+                steps.append(([c] * len(now), list(range(len(now)))))
                 continue
-            new = []
+            new, back = [], []
             for x in CLASSES.get(c, (c,)):
                 i, k = int(_INDEX[ord(x)]) if ord(x) < 0x10000 else 0, _script(x)
-                best = max(paths, key=lambda p: p[0] + self._cost(p[2], i) + (SWITCH if p[3] not in (-1, k) else 0.0))
-                new.append((best[0] + self._cost(best[2], i) + (SWITCH if best[3] not in (-1, k) else 0.0), best[1] + x, i, k))
-            paths = new
-        return max(paths, key=lambda p: p[0] + self._cost(p[2], 0))[1]
+                scores = [s + self._cost(j, i) + (SWITCH if m not in (-1, k) else 0.0) for s, _, j, m in now]
+                best = max(range(len(now)), key=scores.__getitem__)  # ties go to the first in the classes' order
+                new.append((scores[best], x, i, k))
+                back.append(best)
+            now = new
+            steps.append(([x for _, x, _, _ in new], back))
+        at = max(range(len(now)), key=lambda j: now[j][0] + self._cost(now[j][2], 0))
+        out = []
+        for letters, back in reversed(steps):
+            out.append(letters[at])
+            at = back[at]
+        return "".join(reversed(out))
 
 
 def one_form(text: str, reader: Reader) -> str:

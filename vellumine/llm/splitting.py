@@ -17,24 +17,32 @@ from .common import WHITE_SPACE, map_batches
 MAX_WORDS, MAX_CHARS, OVERLAP = 400, 3200, 160
 _SPACE = "[" + re.escape(WHITE_SPACE) + "]"
 _WORD = re.compile("[^" + re.escape(WHITE_SPACE) + "]+")
-#: Boundaries from strongest to weakest, with the place just behind each as the cut.
-_BOUNDARIES = [
-    re.compile(rf"\n{_SPACE}*\n(?=#)"),
-    re.compile(rf"\n{_SPACE}*\n"),
-    re.compile(r"\n(?=- |\||#)"),
-    re.compile(rf"(?:[.!?…]['\")\]»”’]*(?={_SPACE})|[。！？।؟][」』”）]*){_SPACE}*"),
-    re.compile(rf"(?:[,;:–—](?={_SPACE})|[，；：、؛،]){_SPACE}*"),
-    re.compile(rf"{_SPACE}+"),
-]
-_LAST = len(_BOUNDARIES)
+_RUN = re.compile(_SPACE + "+")
+_SENTENCE_END = re.compile(r"[.!?…。！？।؟]['\")\]»”’」』）]*$")
+#: Marks of scripts that put no space behind them: ends of sentences, and of clauses.
+_TIGHT = ((re.compile(r"[。！？।؟][」』”）]*"), 3), (re.compile(r"[，；：、؛،]"), 4))
 
 
 def _cuts(text: str) -> tuple[list[int], list[int]]:
-    """Places between which a text may be cut, with their rank (0 is strongest)."""
+    """Places between which a text may be cut, with their rank: 0 before a heading, then a blank line, a line of its own
+    (item, row, heading), a sentence's end, a clause's end, a word's end."""
     rank: dict[int, int] = {}
-    for r, pattern in enumerate(_BOUNDARIES):
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        if not 0 < b < len(text):
+            continue
+        breaks = m.group().count("\n")
+        if breaks > 1:
+            rank[b] = 0 if text[b] == "#" else 1
+        elif breaks and text[b] in "-|#":
+            rank[b] = 2
+        elif _SENTENCE_END.search(text[max(0, a - 6) : a]):
+            rank[b] = 3
+        else:
+            rank[b] = 4 if text[a - 1 : a] in (",", ";", ":", "–", "—") else 5
+    for pattern, r in _TIGHT:
         for m in pattern.finditer(text):
-            if 0 < m.end() < len(text):
+            if m.end() < len(text) and text[m.end()] not in WHITE_SPACE:
                 rank.setdefault(m.end(), r)
     places = sorted(rank)
     return places, [rank[p] for p in places]
@@ -90,7 +98,7 @@ def overlap_tail(text: str, end: int, overlap: int) -> str:
     """The last ``overlap`` characters before ``end``, begun at a word where there is one."""
     start = max(0, end - overlap)
     if start and text[start - 1] not in WHITE_SPACE:
-        m = re.compile(_SPACE).search(text, start, end)
+        m = _RUN.search(text, start, end)
         if m and m.end() < end and text[m.end() : end].strip(WHITE_SPACE):
             start = m.end()
     return text[start:end].strip(WHITE_SPACE)
@@ -101,7 +109,7 @@ def _shares(text: str, ends: list[int], indices: list[int] | None, elements: lis
     if indices is None:
         return [None] * len(ends)
     blocks, at = [], 0
-    for m in [*re.finditer(rf"\n{_SPACE}*\n", text), None]:
+    for m in [*(m for m in _RUN.finditer(text) if m.group().count("\n") > 1), None]:
         stop = m.start() if m else len(text)
         if text[at:stop].strip(WHITE_SPACE):
             blocks.append((at, stop))

@@ -8,6 +8,7 @@ those that end such units within texts, and lengths at which a source's open tex
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -134,7 +135,7 @@ def _signs(df: DataFrame, field: str, id_col: str, source: str, order: Column) -
                     continue
                 units = sentence_units(t)
                 state, kind, token = read_end(t, units)
-                line = t[units[-1][0] :].strip(_STRIP)[:200] if state == "open" else None
+                line = hashlib.blake2b(t[units[-1][0] :].strip(_STRIP).encode("utf-8", "surrogatepass"), digest_size=12).digest() if state == "open" else None
                 out.append(("r", i, o, s, state, kind, token, len(t), len(t.encode("utf-8", "surrogatepass")), line))
                 for a, b in units[:-1]:
                     head = t[a]
@@ -157,7 +158,7 @@ def _signs(df: DataFrame, field: str, id_col: str, source: str, order: Column) -
 
         return signs
 
-    return map_batches(kept, make, "what string, row_id bigint, o timestamp, source string, state string, kind string, token string, n bigint, n_bytes bigint, line string")
+    return map_batches(kept, make, "what string, row_id bigint, o timestamp, source string, state string, kind string, token string, n bigint, n_bytes bigint, line binary")
 
 
 class Trie:
@@ -210,12 +211,11 @@ def _limits(records: DataFrame, width: int = 12, least: int = 5, share: float =
     near = whole.orderBy("len").rangeBetween(-width, 0)
     by = by.withColumn("near", F.sum("n").over(near)).withColumn("all", F.sum("n").over(whole)).withColumn("most", F.max("len").over(whole))
     peak = by.where((F.col("near") >= least) & (F.col("near") >= share * F.col("all")) & (F.col("near") >= 10.0 * F.col("all") * (width + 1) / F.col("most")))
-    best = peak.groupBy("source", "measure").agg(F.max(F.struct("near", F.col("len"))).alias("b")).select("source", "measure", F.col("b.len").alias("high"), F.col("b.near").alias("near"))
-    # sharp limits have their texts at one length
-    sharp = by.select("source", "measure", F.col("len").alias("high"), F.col("n").alias("at"))
-    best = best.join(sharp, ["source", "measure", "high"]).withColumn("low", F.when(F.col("at") >= 0.8 * F.col("near"), F.col("high") - F.when(F.col("measure") == "bytes", 3).otherwise(0)).otherwise(F.col("high") - width))
-    one = Window.partitionBy("source").orderBy(F.desc(F.col("at") >= 0.8 * F.col("near")), F.desc("near"), "measure")
-    return best.withColumn("r", F.row_number().over(one)).where("r = 1").select("source", "measure", "low", "high")
+    # a sharp limit has its texts at one length (in bytes, a letter less), others within the width below
+    sharp = F.col("n") >= 0.5 * F.col("near")
+    peak = peak.withColumn("sharp", sharp).withColumn("low", F.when(sharp, F.col("len") - F.when(F.col("measure") == "bytes", 3).otherwise(0)).otherwise(F.col("len") - width))
+    one = Window.partitionBy("source").orderBy(F.desc("sharp"), F.desc(F.when(F.col("sharp"), F.col("n")).otherwise(F.col("near"))), F.desc("len"), "measure")
+    return peak.withColumn("r", F.row_number().over(one)).where("r = 1").select("source", "measure", "low", F.col("len").alias("high"))
 
 
 def truncated(df: DataFrame, field: str = "humanized_text", id_col: str = "result_id", source: str = "source", order: Column | None = None) -> DataFrame:
