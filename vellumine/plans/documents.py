@@ -177,11 +177,11 @@ add("filter_f04_eligible", lambda spark, d: _elements(spark, d).where("para_idx
 add("filter_f05_list_items", lambda spark, d: _plain_blocks(spark, d).where(S.is_list_item(F.col("text"))).select("chunk_uid", "block_idx", "text"), f"SELECT chunk_uid, block_idx, text FROM {_texts} WHERE {_list_item}")
 _cap = lambda p: f"CASE WHEN regexp_matches(text, {Q.lit(p)}) THEN nullif(regexp_extract(text, {Q.lit(p)}, 1), '') END"
 add("filter_f06_captions", lambda spark, d: _plain_blocks(spark, d).where(S.is_caption(F.col("text"))).select("chunk_uid", "block_idx", S.caption(F.col("text"), P.FIGURE_CAPTION)["id"].alias("figure_id"), S.caption(F.col("text"), P.TABLE_CAPTION)["id"].alias("table_id"), "text"), f"SELECT chunk_uid, block_idx, {_cap(_fig)} AS figure_id, {_cap(_tbl)} AS table_id, text FROM {_texts} WHERE {_is_fig} OR {_is_tbl}")
-_style_level = F.when(F.lower("style") == "title", 1).otherwise(F.regexp_extract(F.lower("style"), r"heading\s*(\d+)", 1).cast("int"))
-add("filter_f07_heading_level", lambda spark, d: _elements(spark, d).where(F.lower("style").startswith("heading") | (F.lower("style") == "title")).select("chunk_uid", "para_idx", _style_level.alias("level")), f"SELECT chunk_uid, para_idx, CASE WHEN lower(style) = 'title' THEN 1 ELSE regexp_extract(lower(style), 'heading\\s*(\\d+)', 1)::INT END AS level FROM {_elements_sql} WHERE starts_with(lower(style), 'heading') OR lower(style) = 'title'")
+_style_level = lambda: F.when(F.lower("style") == "title", 1).otherwise(F.regexp_extract(F.lower("style"), r"heading\s*(\d+)", 1).cast("int"))
+add("filter_f07_heading_level", lambda spark, d: _elements(spark, d).where(F.lower("style").startswith("heading") | (F.lower("style") == "title")).select("chunk_uid", "para_idx", _style_level().alias("level")), f"SELECT chunk_uid, para_idx, CASE WHEN lower(style) = 'title' THEN 1 ELSE regexp_extract(lower(style), 'heading\\s*(\\d+)', 1)::INT END AS level FROM {_elements_sql} WHERE starts_with(lower(style), 'heading') OR lower(style) = 'title'")
 add("filter_f08_cover_lines", lambda spark, d: _plain_blocks(spark, d).where(S.is_cover_line(F.col("text"))).select("chunk_uid", "block_idx"), f"SELECT chunk_uid, block_idx FROM {_texts} WHERE {_is_cover}")
-_ok = F.lower(F.trim("status"))
-add("filter_f10_status", lambda spark, d: table(spark, d, "chunk_result").agg(F.count_if(_ok == "success").alias("success"), F.count_if(_ok.startswith("error")).alias("errors"), F.count("*").alias("records")), "SELECT count(*) FILTER (lower(trim(status)) = 'success') AS success, count(*) FILTER (starts_with(lower(trim(status)), 'error')) AS errors, count(*) AS records FROM chunk_result")
+_ok = lambda: F.lower(F.trim("status"))
+add("filter_f10_status", lambda spark, d: table(spark, d, "chunk_result").agg(F.count_if(_ok() == "success").alias("success"), F.count_if(_ok().startswith("error")).alias("errors"), F.count("*").alias("records")), "SELECT count(*) FILTER (lower(trim(status)) = 'success') AS success, count(*) FILTER (starts_with(lower(trim(status)), 'error')) AS errors, count(*) AS records FROM chunk_result")
 _w = lambda c: T.word_count(F.col(c))
 add("filter_f11_window", lambda spark, d: table(spark, d, "chunk_result").select("result_id", _w("humanized_text").alias("words"), L.bounds(_w("original_text")).alias("b")).where("words between b.low and b.high").select("result_id", "words"), f"SELECT result_id, {Q.words('humanized_text')} AS words FROM chunk_result WHERE {Q.words('humanized_text')} BETWEEN greatest(20, {Q.words('original_text')} - 15) AND {Q.words('original_text')} + 25")
 add("filter_f12_tail_lines", lambda spark, d: _chunks(spark, d).select("chunk_uid", F.size(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), T.strip), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("|"))).alias("lines")), f"SELECT chunk_uid, len({_tail_lines('text')})::INT AS lines FROM {_once}")
@@ -220,16 +220,15 @@ add("join_j10_section_lookup", lambda spark, d: _plain_blocks(spark, d).where("l
 # ---- aggregates
 add("agg_a01_total_words", lambda spark, d: _chunks(spark, d).groupBy("doc_id").agg(F.sum(T.word_count(F.col("text"))).alias("words"), F.count("*").alias("chunks")), f"SELECT doc_id, sum({Q.words('text')})::BIGINT AS words, count(*) AS chunks FROM {_once} GROUP BY 1")
 add("agg_a02_section_types", lambda spark, d: table(spark, d, "chunk").groupBy("doc_id").agg(F.array_sort(F.collect_set("section_type")).alias("sections")), "SELECT doc_id, coalesce(list(DISTINCT section_type ORDER BY section_type) FILTER (section_type IS NOT NULL), []) AS sections FROM chunk GROUP BY 1")
-_a = {n: c for n, c in A.counts(F.col("text")).items()}
-add("agg_a03_pattern_counts", lambda spark, d: table(spark, d, "documents").groupBy("lang").agg(*(F.sum(c).alias(n) for n, c in _a.items())), "SELECT lang, " + ", ".join(f"sum({s.replace('humanized_text', 'text')})::BIGINT AS {n}" for n, s in cleaning._sqls.items()) + " FROM documents GROUP BY 1")
+add("agg_a03_pattern_counts", lambda spark, d: table(spark, d, "documents").groupBy("lang").agg(*(F.sum(c).alias(n) for n, c in A.counts(F.col("text")).items())), "SELECT lang, " + ", ".join(f"sum({s.replace('humanized_text', 'text')})::BIGINT AS {n}" for n, s in cleaning._sqls.items()) + " FROM documents GROUP BY 1")
 add("agg_a04_triggers", lambda spark, d: cleaning._audited(spark, d, "text", "documents", "doc_id").select("doc_id", "triggers", "score", "level"), f"SELECT doc_id, triggers, score, level FROM ({cleaning.audit_sql('text', 'documents', 'doc_id')})")
 add("agg_a05_sentence_lengths", lambda spark, d: table(spark, d, "documents").select("collection_id", A.rhythm(F.col("text")).alias("r")).groupBy("collection_id").agg(F.sum("r.sentences").alias("sentences"), F.max("r.mean_length").alias("longest_mean")), f"SELECT collection_id, sum(sentences)::BIGINT AS sentences, max(mean_length) AS longest_mean FROM ({cleaning._rhythm.replace('SELECT doc_id, len(l)', 'SELECT collection_id, len(l)').replace('SELECT doc_id, ', 'SELECT collection_id, ')}) GROUP BY 1")
 add("agg_rollup_scores", lambda spark, d: cleaning._audited(spark, d, "text", "documents", "doc_id").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id").rollup("lang", "source").agg(F.count("*").alias("documents"), F.max("score").alias("most")), f"SELECT lang, source, count(*) AS documents, max(score) AS most FROM ({cleaning.audit_sql('text', 'documents', 'doc_id')}) JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id) GROUP BY ROLLUP (lang, source)")
 
 # ---- top-k, sets
 add("topk_k04_findings", lambda spark, d: table(spark, d, "documents").select("doc_id", F.slice(A.present(F.col("text"), P.BUZZWORDS), 1, 10).alias("first_ten")), f"SELECT doc_id, list_slice({Q.present('text', P.BUZZWORDS)}, 1, 10) AS first_ten FROM documents")
-_first_line = F.get(F.filter(F.transform(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 400), "\n"), T.strip), lambda x: x != ""), F.lit(0))
-add("topk_k06_first_line", lambda spark, d: table(spark, d, "documents").select("doc_id", _first_line.alias("line"), F.substring("text", 1, 350).alias("head")), f"SELECT doc_id, list_filter(list_transform(string_split(substring({Q.text('text')}, 1, 400), {NL}), lambda x: {Q.strip('x')}), lambda x: x <> '')[1] AS line, substring(text, 1, 350) AS head FROM documents")
+_first_line = lambda: F.get(F.filter(F.transform(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 400), "\n"), T.strip), lambda x: x != ""), F.lit(0))
+add("topk_k06_first_line", lambda spark, d: table(spark, d, "documents").select("doc_id", _first_line().alias("line"), F.substring("text", 1, 350).alias("head")), f"SELECT doc_id, list_filter(list_transform(string_split(substring({Q.text('text')}, 1, 400), {NL}), lambda x: {Q.strip('x')}), lambda x: x <> '')[1] AS line, substring(text, 1, 350) AS head FROM documents")
 add("topk_k07_tail_sentence", lambda spark, d: _chunks(spark, d).select("chunk_uid", T.tail_sentence(F.col("text")).alias("tail")), f"SELECT chunk_uid, {_tail('text')} AS tail FROM {_once}")
 _marked_ends = rf"list_filter(list_transform(string_split(regexp_replace({Q.strip(Q.text('text'))}, '([.!?])({P.S}+)', '\1' || chr(1), 'g'), chr(1)), lambda s: {Q.strip('s')}), lambda s: s <> '')"
 add("topk_k07_long_sentence", lambda spark, d: _chunks(spark, d).select("chunk_uid", T.last_long_sentence(F.col("text")).alias("tail")), f"SELECT chunk_uid, coalesce(list_filter(l, lambda s: {Q.words('s')} >= 4)[-1], l[-1], '') AS tail FROM (SELECT chunk_uid, {_marked_ends} AS l FROM {_once})")

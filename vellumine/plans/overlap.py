@@ -20,8 +20,8 @@ def add(name: str, build, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
-def column(name: str, outputs: dict, sqls: dict, source: str = "chunk_result", key: str = "result_id") -> None:
-    add(name, lambda spark, d: table(spark, d, source).select(key, *(c.alias(n) for n, c in outputs.items())), f"SELECT {key}, " + ", ".join(f"{s} AS {n}" for n, s in sqls.items()) + f" FROM {source}")
+def column(name: str, outputs, sqls: dict, source: str = "chunk_result", key: str = "result_id") -> None:
+    add(name, lambda spark, d: table(spark, d, source).select(key, *(c.alias(n) for n, c in outputs().items())), f"SELECT {key}, " + ", ".join(f"{s} AS {n}" for n, s in sqls.items()) + f" FROM {source}")
 
 
 # ---- similarity. A token is a stretch of [a-zA-Z0-9_-] whose ends are word borders.
@@ -179,10 +179,10 @@ def _list(xs: str) -> str:
 _s2 = f"(?:{P.S})*"
 _num2 = rf"{P.D}+(?:\.\.{P.D}+)?"
 _years = _sorted(_hits(_dash, rf"19{P.D}{{2}}|20{P.D}{{2}}"))
-column("ent_n09_years", {"found": E.years(F.col(H))}, {"found": _years})
+column("ent_n09_years", lambda: {"found": E.years(F.col(H))}, {"found": _years})
 _pv = rf"[pP](?:(?:--|{P.S}{{2}})?value)?{_s2}(?:(?:<<|==|>>|≥≥|≤≤)|(?:(?:less|greater){P.S}+than{Q.NB})){_s2}{_num2}"
-column("ent_n02_p_values", {"found": E.p_values(F.col(H))}, {"found": _sorted(f"list_transform({_hits(_dash, _pv)}, lambda x: {Q.strip(_single('x'))})")})
-column("ent_n03_percentages", {"found": E.percentages(F.col(H), wide=True)}, {"found": _sorted(f"list_transform(regexp_extract_all({_double(_dash)}, {Q.lit(_edge_l + '(' + _num2 + _s2 + '%)')}, 1), lambda x: {_single('x')} )").replace("regexp_replace(x,", "regexp_replace(replace(x || '%', '%%', '%%'),")})
+column("ent_n02_p_values", lambda: {"found": E.p_values(F.col(H))}, {"found": _sorted(f"list_transform({_hits(_dash, _pv)}, lambda x: {Q.strip(_single('x'))})")})
+column("ent_n03_percentages", lambda: {"found": E.percentages(F.col(H), wide=True)}, {"found": _sorted(f"list_transform(regexp_extract_all({_double(_dash)}, {Q.lit(_edge_l + '(' + _num2 + _s2 + '%)')}, 1), lambda x: {_single('x')} )").replace("regexp_replace(x,", "regexp_replace(replace(x || '%', '%%', '%%'),")})
 _unit_names = r"kJ//mol|kcal//mol|Å|angstroms?|µM|uM|nM|mM|mg//kg|mg//dL|kDa|Da|mol//L|h|hr|hrs|min|sec"
 _unit2 = rf"((?:--|[+][+])?{_num2}){_s2}(?:({_unit_names}){_edge_r}|(%%)[\p{{L}}\p{{N}}_])"
 
@@ -192,17 +192,17 @@ def _metrics(t: str) -> str:
     part = lambda g: _single(f"regexp_extract(m, {Q.lit('(?i)' + _unit2)}, {g})")
     return _list(f"list_transform({hits}, lambda m: lower({part(1)} || ' ' || {part(2)} || {part(3)}))")
 _fig = rf"(?:Figure|Fig\.\.){_s2}{_num2}[a-zA-Z]?"
-column("ent_n07_tables", {"found": E.tables(F.col(H))}, {"found": _list(f"list_transform({_hits(H, f'Table{_s2}{_num2}', flags='(?i)')}, lambda x: 'Table' || substring({Q.sub(_single('x'), f'{P.S}+', ' ')}, 6))")})
+column("ent_n07_tables", lambda: {"found": E.tables(F.col(H))}, {"found": _list(f"list_transform({_hits(H, f'Table{_s2}{_num2}', flags='(?i)')}, lambda x: 'Table' || substring({Q.sub(_single('x'), f'{P.S}+', ' ')}, 6))")})
 _residue = rf"[A-Z][a-z]{{2}}{P.D}{{1,4}}|PDB{_s2}(?:::|{P.S}{{2}}){_s2}[0-9][A-Za-z0-9]{{3}}"
-column("ent_n08_residues", {"found": E.residues(F.col(H))}, {"found": _list(f"list_transform({_hits(H, _residue)}, lambda x: {_single('x')})")})
+column("ent_n08_residues", lambda: {"found": E.residues(F.col(H))}, {"found": _list(f"list_transform({_hits(H, _residue)}, lambda x: {_single('x')})")})
 _cites = f"regexp_extract_all({_dash}, {Q.lit(E.CITATION)})"
-column("ent_n10_citations", {"nums": F.transform(E.citations(F.col(H)), lambda x: x["num"]), "raws": F.transform(E.citations(F.col(H)), lambda x: x["raw"])}, {"nums": f"list_transform({_cites}, lambda m: regexp_extract(m, '({P.D}+)', 1)::INT)", "raws": _cites})
+column("ent_n10_citations", lambda: {"nums": F.transform(E.citations(F.col(H)), lambda x: x["num"]), "raws": F.transform(E.citations(F.col(H)), lambda x: x["raw"])}, {"nums": f"list_transform({_cites}, lambda m: regexp_extract(m, '({P.D}+)', 1)::INT)", "raws": _cites})
 _ascii = r"[^\p{Nd}a-zA-Z0-9_]"  # other digits are part of numbers
 _numbers = rf"list_transform(regexp_extract_all(regexp_replace({_dash}, '({_ascii})', '\1\1', 'g'), {Q.lit(rf'(?:^|{_ascii})((?:--|[+][+])?{P.D}+(?:\.\.{P.D}+)?(?:[eE](?:--|[+][+])?{P.D}+)?)(?:$|{_ascii})')}, 1), lambda x: regexp_replace(x, '([-+.])([-+.])', '\1', 'g'))"
 _keep = rf"(contains(n, '.') OR regexp_matches(n, '^[-+]') OR (regexp_full_match(n, '{P.D}+') AND NOT regexp_full_match(n, '0*{P.D}')))"
-column("ent_n05_raw_numbers", {"found": E.raw_numbers(F.col(H))}, {"found": _sorted(f"list_filter({_numbers}, lambda n: {_keep})")})
+column("ent_n05_raw_numbers", lambda: {"found": E.raw_numbers(F.col(H))}, {"found": _sorted(f"list_filter({_numbers}, lambda n: {_keep})")})
 add("filter_f09_number_rule", lambda spark, d: table(spark, d, "chunk_result").select("result_id", F.size(E.raw_numbers(F.col(H))).alias("kept")), f"SELECT result_id, len({_sorted(f'list_filter({_numbers}, lambda n: {_keep})')})::INT AS kept FROM chunk_result")
-column("ent_n01_dashes", {"plain": E.plain_dashes(F.col(H))}, {"plain": _dash})
+column("ent_n01_dashes", lambda: {"plain": E.plain_dashes(F.col(H))}, {"plain": _dash})
 
 
 def _dashed(t: str) -> str:
@@ -238,8 +238,8 @@ def _cite_nums(t: str) -> str:
     return f"list_transform(regexp_extract_all({_dashed(t)}, {Q.lit(E.CITATION)}), lambda m: regexp_extract(m, '({P.D}+)', 1)::INT)"
 
 
-column("ent_n04_units", {"found": E.unit_metrics(F.col(H))}, {"found": _metrics(_dash)})
-column("ent_n06_figures", {"found": E.figures(F.col(H))}, {"found": _figures(H)})
+column("ent_n04_units", lambda: {"found": E.unit_metrics(F.col(H))}, {"found": _metrics(_dash)})
+column("ent_n06_figures", lambda: {"found": E.figures(F.col(H))}, {"found": _figures(H)})
 add("agg_a06_entity_lists", lambda spark, d: table(spark, d, "chunk_result").select("result_id", *(f(F.col(O)).alias(n) for n, f in (("p_values", E.p_values), ("unit_metrics", E.unit_metrics), ("raw_numbers", E.raw_numbers), ("figures", E.figures), ("tables", E.tables), ("residues", E.residues), ("years", E.years)))), f"SELECT result_id, {_p_values(O)} AS p_values, {_metrics(_dashed(O))} AS unit_metrics, {_raw(O)} AS raw_numbers, {_figures(O)} AS figures, {_tables(O)} AS tables, {_residues(O)} AS residues, {_year_list(O)} AS years FROM chunk_result")
 
 # ---- fidelity
