@@ -220,3 +220,11 @@ def test_pptx():
         z.writestr("ppt/slides/_rels/slide1.xml.rels", rel(("r2", "notesSlide", "../notesSlides/n1.xml")))
         z.writestr("ppt/notesSlides/n1.xml", f"<p:notes {a}><p:cSld><p:spTree>{shape('body', 'say it')}</p:spTree></p:cSld></p:notes>")
     assert O.pptx_text(data.getvalue()) == "# Slide 1: Hi\n\none\n\ntwo\n\n> **Speaker Notes (Slide 1):** say it"
+
+
+def test_query_tables_need_no_session():
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q))"], capture_output=True, text=True, cwd=sys.path[0])
+    assert out.returncode == 0 and int(out.stdout) > 100
