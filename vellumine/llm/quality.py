@@ -203,11 +203,11 @@ def statistics(text: str | None) -> dict:
     top = counts.most_common(1)[0][1] / len(words) if len(words) >= 10 else 0.0
     if hex_ or base:
         reasons.append("encoded data")
-    if top > 0.5:
-        reasons.append("one word repeated")
+    if top > 0.5 or (len(lines) >= 8 and Counter(lines).most_common(1)[0][1] > 0.5 * len(lines)):
+        reasons.append("repetition")
     if not re.search(r"[^\W_]", text):
         reasons.append("no letters or digits")
-    hard = {"markup", "mojibake", "encoded data", "one word repeated", "no letters or digits"} & set(reasons)
+    hard = {"markup", "mojibake", "encoded data", "repetition", "no letters or digits"} & set(reasons)
     if hard:
         kind = "junk"
     elif stats["row_ratio"] > 0.5:

@@ -82,7 +82,7 @@ def read_end(text: str, units: list[tuple[int, int]]) -> tuple[str, str, str]:
     if _TRACE.search(t):
         return "cut", kind, token
     if kind == "table":
-        return ("open" if not unit.endswith(("|", "｜")) else "whole"), kind, token
+        return ("open" if not unit.rstrip("\"'”’“»`* ").endswith(("|", "｜")) else "whole"), kind, token
     if kind in ("list", "caption", "heading", "thai"):
         if kind != "heading" and _CLOSED.search(whole):
             return "whole", kind, token
@@ -92,7 +92,7 @@ def read_end(text: str, units: list[tuple[int, int]]) -> tuple[str, str, str]:
     if not _CLOSED.search(whole):
         return "cut", kind, token
     # closed, but perhaps by the full stop of an abbreviation, of a number, or within brackets
-    inner = unit.rstrip("\"'”’“»」』）)]}`*_ ")
+    inner = _IGNORED.sub("", unit).rstrip("\"'”’“»」』）)]}`*_ ")
     if kind == "entry":
         if re.search(r"\d\s?[–-]\s?\d+\.$", inner):
             return "whole", kind, token
