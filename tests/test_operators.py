@@ -116,13 +116,26 @@ def test_tables_round_trip(spark):
 def test_contents_and_profile(spark):
     text = "# A\n\nBody.\n\n## B\nMore.\n\n# C\n\nFigure 2: Yield\n\n| a |\n| - |"
     df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, text string")
-    toc = S.contents(df, ["id"]).orderBy("idx").collect()
+    toc = S.contents(df.withColumn("part", F.lit(0)), "id", ["part"], "part").orderBy("place").collect()
     assert [(r.heading, r.level, r.page, r.dots) for r in toc] == [("A", 1, 2, 61), ("B", 2, 3, 53), ("C", 1, 3, 61)]
     p = {r.id: r for r in S.profile(df, "id").collect()}
     assert (p[1].heading_count, p[1].figure_count, p[1].markdown_tables_count, p[1].estimated_pages, p[1].reading_time_min) == (3, 1, 1, 1.0, 1)
     assert p[2].total_blocks == p[3].total_blocks == 0
 
 
+def test_prefix_sums_and_salted_join(spark):
+    from vellumine.operators.scale import prefix_sums, salted_join
+
+    rng = random.Random(9)
+    rows = [(g, i, i // 7, rng.randint(0, 5)) for g in range(3) for i in range(50)]
+    df = spark.createDataFrame(rows, "g int, i int, b int, v int")
+    got = {(r.g, r.i): r.ahead for r in prefix_sums(df, ["g"], "b", ["i"], {"ahead": F.col("v")}).collect()}
+    assert got == {(g, i): sum(v for h, j, _, v in rows if h == g and j < i) for g, i, _, _ in rows}
+    right = spark.createDataFrame([(0, "a"), (2, "c")], "g int, name string")
+    out = sorted((r.g, r.i, r.name or "") for r in salted_join(df, right, ["g"], F.col("i")).collect())
+    assert out == sorted((g, i, {0: "a", 2: "c"}.get(g, "")) for g, i, _, _ in rows)
+
+
 def test_captions_and_slides(spark):
     df = spark.createDataFrame([(1, "Figure 1: A\n\nAs fig 2a and Table 1 show.\n\nTable 2: B")], "id int, text string")
     got = {(r.kind, r.ref, r.captioned, r.referenced) for r in S.captions_and_references(df, "id").collect()}

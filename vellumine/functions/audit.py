@@ -10,10 +10,10 @@ from . import patterns as P, text as T
 def present(text: Column, words, bounded: bool = True) -> Column:
     """The words of a list that occur in lower-cased text, in the list's order; each counts once."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    hit = (lambda w: low.rlike(f"{P.B}{P.alternatives([w])}{P.B}")) if bounded else (lambda w: low.contains(w))
+    hit = (lambda w: low.rlike(P.whole([w]))) if bounded else (lambda w: low.contains(w))
     found = F.array_compact(F.array(*(F.when(hit(w), F.lit(w)) for w in words)))
     # one pass decides for the many texts that have none
-    any_ = low.rlike((f"{P.B}(?:{P.alternatives(words)}){P.B}") if bounded else f"(?:{P.alternatives(words)})")
+    any_ = low.rlike(P.whole(words) if bounded else f"(?:{P.alternatives(words)})")
     return F.when(any_, found).otherwise(F.array().cast("array<string>"))
 
 
@@ -22,7 +22,7 @@ def leaks(text: Column) -> Column:
 
 
 def _bounded(words) -> str:
-    return f"(?iu){P.B}(?:{P.alternatives(words)}){P.B}"
+    return "(?iu)" + P.whole(words)
 
 
 NEGATIVE_PARALLELISM = f"(?iu){P.B}(?:not only{P.B}[^\\n]*?{P.B}but also|not just{P.B}[^\\n]*?{P.B}but also|it is not{P.B}[^\\n]*?{P.B}but{P.B}|rather than{P.B})"

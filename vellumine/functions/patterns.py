@@ -68,3 +68,8 @@ TABLE_CAPTION = rf"(?iu)^{S}*(?:table|tbl\.?){_CAPTION_REST}"
 def alternatives(words) -> str:
     """An alternation of literal words."""
     return "|".join(re.escape(w).replace("\\ ", " ").replace("\\'", "'").replace("\\-", "-") for w in words)
+
+
+def whole(words) -> str:
+    """Words of a list as whole words. They begin and end with letters, so looking one sign back and ahead is enough."""
+    return f"(?<!{W})(?:{alternatives(words)})(?!{W})"

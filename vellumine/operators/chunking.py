@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
+from ..session import checkpointed
 
 
 def chunk_numbers(blocks: DataFrame, doc: str, order: list[str], max_words: int = 400, heading_words: int = 200) -> DataFrame:
@@ -48,9 +49,10 @@ def chunk_numbers(blocks: DataFrame, doc: str, order: list[str], max_words: int
 
 def pack_chunks(blocks: DataFrame, doc: str, order: list[str], max_words: int = 400) -> DataFrame:
     """Chunks: ``new_chunk``, words, blocks, section, protection, whether they hold tables, and the tail before them."""
+    blocks = checkpointed(blocks.select(doc, *order, "kind", "level", "text", "word_count", "section", "is_protected"))  # read twice below
     numbered = blocks.join(chunk_numbers(blocks, doc, order, max_words), [doc, *order])
     mark = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), F.col("level"))), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
     by = numbered.withColumn("m", mark).groupBy(doc, "new_chunk").agg(F.sum("word_count").alias("word_count"), F.count("*").alias("blocks"), F.min_by("section", F.struct(*order)).alias("section"), F.min_by("is_protected", F.struct(*order)).alias("is_protected"), F.bool_or(F.col("kind") == "table").alias("has_table"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "m"))), lambda x: x["m"]), "\n\n").alias("text"))
-    tail = by.withColumn("tail", T.tail_sentence(F.col("text")))
-    w = Window.partitionBy(doc).orderBy("new_chunk")
-    return tail.withColumn("prev_context_tail", F.lag("tail", 1, "").over(w)).drop("tail")
+    # the chunk before has the number before: an equi-join, where a window would sort a document's texts in one task
+    tails = by.select(doc, (F.col("new_chunk") + 1).alias("new_chunk"), T.tail_sentence(F.col("text")).alias("prev_context_tail"))
+    return by.join(tails, [doc, "new_chunk"], "left").fillna("", ["prev_context_tail"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions import patterns as P, text as T
+from .scale import prefix_sums
 
 NUMBERING = rf"(?iu)^(?:(?:section|chapter|chap\.?){P.S}+)?(?:(?:{P.D}+(?:\.{P.D}+)*)|(?:[ivxlcdm]+))[.{P.WS}\-–—:]+{P.S}*"
 DIVIDER = rf"^\|[{P.WS}\-:|]+\|$"
@@ -53,9 +54,10 @@ def cells_to_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
 def section_of(heading: Column) -> Column:
     """The first section class one of whose key words a heading, without its number, has."""
     clean = T.strip(F.regexp_replace(T.strip(F.lower(F.coalesce(heading, F.lit("")))), NUMBERING, ""))
-    out = F.when(F.lit(False), F.lit(""))
+    # most blocks have none of the words, and one look tells
+    out = F.when(~clean.rlike(P.whole([w for ws in P.SECTIONS.values() for w in ws])), "general")
     for name, words in P.SECTIONS.items():
-        out = out.when(clean.rlike(f"{P.B}(?:{P.alternatives(words)}){P.B}"), name)
+        out = out.when(clean.rlike(P.whole(words)), name)
     return out.otherwise("general")
 
 
@@ -91,36 +93,40 @@ def sections(df: DataFrame, doc: str = "doc_id", bucket: str = "bucket", order:
     rising function of the order (such as its quotient): changes are carried within buckets, then over buckets, so that
     no task needs a whole document.
     """
-    found = section_of(F.col("text"))
-    start = found.isin("abstract", "introduction", "methodology", "literature_review") | F.col("text").rlike(rf"(?iu)^(?:chapter{P.S}+1{P.B}|1\.?{P.S}+[a-zA-Z]|introduction{P.B}|abstract{P.B})")
-    base = df.withColumn("__f", found).withColumn("__s", start)
-    first = base.where("__s").groupBy(doc).agg(F.min(F.struct(*order)).alias("__first"))
-    base = base.join(first, doc, "left")
+    text = F.col("text")
+    base = df.withColumn("__f", section_of(text))
+    start = F.col("__f").isin("abstract", "introduction", "methodology", "literature_review") | text.rlike(rf"(?iu)^(?:chapter{P.S}+1{P.B}|1\.?{P.S}+[a-zA-Z]|introduction{P.B}|abstract{P.B})")
+    references = (F.col("__f") == "references") | text.rlike(rf"(?iu)^(?:references|bibliography|works cited|literature cited){P.B}")
+    plain = F.col("__f").isin("general", "front_matter")
+    # what a block says as the body's first, if it may be that, and what as a later one
+    base = base.withColumn("__begin", F.when(start, F.when(plain, "introduction").otherwise(F.col("__f")))).withColumn("__change", F.when(references, "references").when(F.col("level").between(1, 2) & ~plain, F.col("__f"))).drop("__f")
     here = F.struct(*order)
-    change = F.when(F.col("__first").isNull() | (here < F.col("__first")), None).when(here == F.col("__first"), F.when(F.col("__f").isin("general", "front_matter"), "introduction").otherwise(F.col("__f")))
-    references = (F.col("__f") == "references") | F.col("text").rlike(rf"(?iu)^(?:references|bibliography|works cited|literature cited){P.B}")
-    change = change.when(references, "references").when(F.col("level").between(1, 2) & ~F.col("__f").isin("general", "front_matter"), F.col("__f"))
-    base = base.withColumn("__change", change)
-    inner = Window.partitionBy(doc, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    base = base.withColumn("__within", F.last("__change", ignorenulls=True).over(inner))
-    last = base.groupBy(doc, bucket).agg(F.max_by("__change", F.when(F.col("__change").isNotNull(), here)).alias("__last"))
+    per = base.groupBy(doc, bucket).agg(F.min(F.when(F.col("__begin").isNotNull(), F.struct(here.alias("at"), F.col("__begin").alias("what")))).alias("__first"), F.max(F.when(F.col("__change").isNotNull(), F.struct(here.alias("at"), F.col("__change").alias("what")))).alias("__last"))
     before = Window.partitionBy(doc).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = last.select(doc, bucket, F.last("__last", ignorenulls=True).over(before).alias("__ahead"))
-    out = base.join(ahead, [doc, bucket]).withColumn("section", F.coalesce("__within", "__ahead", F.lit("front_matter")))
-    return out.drop("__f", "__s", "__first", "__change", "__within", "__ahead").withColumn("is_protected", F.col("section").isin(*P.PROTECTED))
+    ahead = per.select(doc, bucket, F.min("__first").over(Window.partitionBy(doc)).alias("__first"), F.max("__last").over(before).alias("__ahead"))
+    inner = Window.partitionBy(doc, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("__change").isNotNull(), F.struct(here.alias("at"), F.col("__change").alias("what")))
+    out = base.withColumn("__within", F.last(own, ignorenulls=True).over(inner)).join(ahead, [doc, bucket])
+    last = F.coalesce("__within", "__ahead")
+    later = F.when(last["at"] > F.col("__first.at"), last["what"]).otherwise(F.col("__first.what"))
+    out = out.withColumn("section", F.when(F.col("__first").isNull() | (here < F.col("__first.at")), "front_matter").otherwise(later))
+    return out.drop("__begin", "__change", "__within", "__first", "__ahead").withColumn("is_protected", F.col("section").isin(*P.PROTECTED))
 
 
-def contents(df: DataFrame, keys: list[str], text: str = "text", title_page: bool = False) -> DataFrame:
-    """Table of contents: headings of level 1 to 4 with estimated pages and leader dots, where there are two or more."""
-    rows = df.select(*keys, F.posexplode(F.split(T.normalize_blocks(F.coalesce(text, F.lit(""))), "\n\n")).alias("idx", "raw")).withColumn("raw", T.strip(F.col("raw")))
+def contents(df: DataFrame, doc: str, order: list[str], bucket: str, text: str = "text", title_page: bool = False) -> DataFrame:
+    """Table of contents of documents that come in parts: headings of level 1 to 4 in order (``place``, from 0) with
+    estimated pages and leader dots, for documents with two headings or more.
+
+    ``order`` sorts a document's parts, ``bucket`` rises with it; pages are running sums by ``prefix_sums``.
+    """
+    parts = F.transform(F.split(T.normalize_blocks(F.coalesce(text, F.lit(""))), "\n\n"), T.strip)
     mark = rf"^(#{{1,4}}){P.S}+([^\n]*)$"
-    heads = rows.where(F.col("raw").rlike(mark)).select(*keys, "idx", F.length(F.regexp_extract("raw", mark, 1)).alias("level"), T.strip(F.regexp_extract("raw", mark, 2)).alias("heading"))
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    page = F.lit(3 if title_page else 2) + F.coalesce(F.sum((F.col("level") == 1).cast("int")).over(before), F.lit(0))
-    out = heads.withColumn("n", F.count("*").over(whole)).withColumn("page", page.cast("int")).where("n >= 2")
-    indent = (F.col("level") - 1) * 4
-    return out.select(*keys, "idx", "level", "heading", "page", F.greatest(F.lit(6), 62 - 2 * indent - F.length("heading")).alias("dots"))
+    rows = df.select(doc, *order, bucket, F.posexplode(parts).alias("idx", "raw")).where(F.col("raw").rlike(mark))
+    heads = rows.select(doc, *order, bucket, "idx", F.length(F.regexp_extract("raw", mark, 1)).alias("level"), T.strip(F.regexp_extract("raw", mark, 2)).alias("heading"))
+    placed = prefix_sums(heads, [doc], bucket, [*order, "idx"], {"place": F.lit(1), "chapters": (F.col("level") == 1).cast("int")})
+    many = heads.groupBy(doc).agg(F.count("*").alias("n")).where("n >= 2").select(doc)
+    out = placed.join(many, doc, "left_semi")
+    return out.select(doc, "place", "level", "heading", (F.col("chapters") + (3 if title_page else 2)).cast("int").alias("page"), F.greatest(F.lit(6), 62 - 8 * (F.col("level") - 1) - F.length("heading")).alias("dots"))
 
 
 def profile(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:

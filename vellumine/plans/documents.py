@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from ..functions import audit as A, bounds as L, patterns as P, text as T
 from ..operators import chunking as G, rewrite as R, structure as S
+from ..operators.scale import prefix_sums
 from ..session import table
 from . import cleaning, sql as Q
 
@@ -71,18 +72,18 @@ add("struct_s19_slides", lambda spark, d: S.slides(table(spark, d, "documents"),
 add("struct_s22_plain_text", lambda spark, d: table(spark, d, "documents").select("doc_id", T.strip_headings(F.col("text")).alias("text")), f"SELECT doc_id, {Q.sub('text', f'(?m)^#{{1,6}}{P.S}+')} AS text FROM documents")
 
 
-def _manuscripts(spark: SparkSession, d: str) -> DataFrame:
-    """Whole manuscripts: their chunks joined in order."""
-    return S.ordered_text(_chunks(spark, d).where("text is not null"), "doc_id", ["chunk_id", "chunk_uid"], "text")
+def _parts_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as the parts of their manuscripts."""
+    return _chunks(spark, d).where("text is not null").withColumn("bucket", F.expr("chunk_id div 64"))
 
 
 _whole = f"(SELECT doc_id, string_agg(text, {NL} || {NL} ORDER BY chunk_id, chunk_uid) AS text FROM {_once} WHERE text IS NOT NULL GROUP BY 1)"
 _norm_pieces = f"SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS idx FROM (SELECT doc_id, string_split({cleaning._norm}, {NL} || {NL}) AS p FROM {_whole})"
 _mark = rf"^(#{{1,4}}){P.S}+([^\n]*)$"
 _heads = f"SELECT doc_id, idx, length(regexp_extract(raw, {Q.lit(_mark)}, 1)) AS level, {Q.strip(f'regexp_extract(raw, {Q.lit(_mark)}, 2)')} AS heading FROM (SELECT doc_id, idx, {Q.strip('raw')} AS raw FROM ({_norm_pieces})) WHERE regexp_matches(raw, {Q.lit(_mark)})"
-_contents = f"SELECT doc_id, idx::INT AS idx, level::INT AS level, heading, (2 + coalesce(sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS page, greatest(6, 62 - 8 * (level - 1) - length(heading))::INT AS dots, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_heads})"
-add("struct_s23_contents", lambda spark, d: S.contents(_manuscripts(spark, d), ["doc_id"]), f"SELECT * EXCLUDE (n) FROM ({_contents}) WHERE n >= 2")
-add("win_w08_pages", lambda spark, d: S.contents(_manuscripts(spark, d), ["doc_id"]).groupBy("doc_id").agg(F.max("page").alias("last_page"), F.count("*").alias("entries")), f"SELECT doc_id, max(page) AS last_page, count(*) AS entries FROM ({_contents}) WHERE n >= 2 GROUP BY 1")
+_contents = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS place, level::INT AS level, heading, (2 + coalesce(sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS page, greatest(6, 62 - 8 * (level - 1) - length(heading))::INT AS dots, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_heads})"
+add("struct_s23_contents", lambda spark, d: S.contents(_parts_in_order(spark, d), "doc_id", ["chunk_id", "chunk_uid"], "bucket"), f"SELECT * EXCLUDE (n) FROM ({_contents}) WHERE n >= 2")
+add("win_w08_pages", lambda spark, d: S.contents(_parts_in_order(spark, d), "doc_id", ["chunk_id", "chunk_uid"], "bucket").groupBy("doc_id").agg(F.max("page").alias("last_page"), F.count("*").alias("entries")), f"SELECT doc_id, max(page) AS last_page, count(*) AS entries FROM ({_contents}) WHERE n >= 2 GROUP BY 1")
 
 # ---- sections
 _clean = Q.strip(Q.sub(Q.strip("lower(text)"), S.NUMBERING.replace("(?iu)", "(?i)")))
@@ -144,11 +145,8 @@ add("agg_a09_structure_counts", lambda spark, d: S.profile(table(spark, d, "docu
 
 
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks with their place in the document, counted per chunk first."""
-    b = _blocks(spark, d)
-    n = b.groupBy("doc_id", "chunk_id", "chunk_uid").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("chunk_id", "chunk_uid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.row_number().over(Window.partitionBy("chunk_uid").orderBy("block_idx"))
-    return b.join(n.select("chunk_uid", "before"), "chunk_uid").withColumn("place", F.col("before") + inner - 1)
+    """Blocks with their place in the document."""
+    return prefix_sums(_blocks(spark, d), ["doc_id"], "bucket", ["chunk_id", "chunk_uid", "block_idx"], {"place": F.lit(1)})
 
 
 _places = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id, chunk_uid, block_idx) - 1 AS place FROM ({_blocks_sql})"
