@@ -10,24 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window
 
+from ..operators.scale import prefix_sums
 from ..session import checkpointed
 from .tokens import TOKENIZER, token_counts
 
 BUCKETS = 4096
 
 
-def _offsets(df: DataFrame, group: list[str], order: list[str], bucket: str, size: str) -> DataFrame:
-    """Adds ``before``, the sum of ``size`` ahead of a row within its group, without any task holding a whole group.
-
-    Rows are ordered by bucket, then by ``order``; sums of buckets are carried over, rows are summed within buckets.
-    """
-    sums = df.groupBy(*group, bucket).agg(F.sum(size).alias("__sum"))
-    ahead = sums.withColumn("__ahead", F.coalesce(F.sum("__sum").over(Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
-    inner = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    keyed = df.withColumn("__within", F.coalesce(F.sum(size).over(inner), F.lit(0)))
-    return keyed.join(ahead, [*group, bucket]).withColumn("before", F.col("__ahead") + F.col("__within")).drop("__ahead", "__within")
-
-
 def default_schedules(mix: DataFrame, ramp: float = 0.5) -> DataFrame:
     """Sources that repeat come more often late, the others early; at each time the rates sum to the shares' sum."""
     late = F.col("max_repeats") > 1
@@ -60,16 +49,16 @@ def mix_sources(docs: DataFrame, mix: DataFrame, schedules: DataFrame | None = N
 
     drawn = sizes.join(plan.select("source", "there", "demand", "rounds"), "source").select("source", "doc_id", "n_tokens", "there", "demand", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("rounds") - 1))).alias("repeat"))
     drawn = drawn.withColumn("h", F.xxhash64("doc_id", "repeat")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
-    offset = _offsets(drawn, ["source", "repeat"], ["h", "doc_id"], "b", "n_tokens").withColumn("mid", F.col("before") + F.col("repeat") * F.col("there") + F.col("n_tokens") / 2)
+    offset = prefix_sums(drawn, ["source", "repeat"], "b", ["h", "doc_id"], {"before": F.col("n_tokens")}).withColumn("mid", F.col("before") + F.col("repeat") * F.col("there") + F.col("n_tokens") / 2)
     taken = offset.where("mid <= demand").select("source", "doc_id", "n_tokens", "repeat", "h", F.least(F.lit(1.0), F.col("mid") / F.col("demand")).alias("q"))
 
     timed = taken.join(plan.select("source", "times", "rates", "area", "sums"), "source").withColumn("y", F.col("q") * F.col("area")).withColumn("k", F.expr("greatest(1, least(size(sums) - 1, size(filter(sums, x -> x <= y))))"))
     timed = timed.select("source", "doc_id", "n_tokens", "repeat", "h", *(F.expr(e).alias(a) for a, e in (("t0", "times[k-1]"), ("w0", "rates[k-1]"), ("slope", "(rates[k] - rates[k-1]) / (times[k] - times[k-1])"), ("d", "y - sums[k-1]"))))
     # w0 * u + slope * u^2 / 2 = d, solved without cancellation
     root = F.sqrt(F.greatest(F.lit(0.0), F.col("w0") * F.col("w0") + 2 * F.col("slope") * F.col("d")))
-    timed = timed.withColumn("at", F.least(F.lit(1.0), F.col("t0") + F.when(F.col("d") <= 0, 0.0).otherwise(2 * F.col("d") / (F.col("w0") + root)))).withColumn("one", F.lit(1).cast("long")).withColumn("zero", F.lit(0))
+    timed = timed.withColumn("at", F.least(F.lit(1.0), F.col("t0") + F.when(F.col("d") <= 0, 0.0).otherwise(2 * F.col("d") / (F.col("w0") + root)))).withColumn("zero", F.lit(0))
     timed = timed.withColumn("b", F.least(F.lit(BUCKETS - 1), F.floor(F.col("at") * BUCKETS)))
-    return _offsets(timed, ["zero"], ["at", "h", "doc_id", "source", "repeat"], "b", "one").select(F.col("before").alias("seq"), "at", "source", "doc_id", "repeat", "n_tokens")
+    return prefix_sums(timed, ["zero"], "b", ["at", "h", "doc_id", "source", "repeat"], {"before": F.lit(1).cast("long")}).select(F.col("before").alias("seq"), "at", "source", "doc_id", "repeat", "n_tokens")
 
 
 def share_report(mixed: DataFrame, mix: DataFrame) -> DataFrame:

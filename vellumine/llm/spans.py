@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.scale import salted_join
 from ..session import checkpointed
 from .common import map_batches
 
@@ -185,7 +186,7 @@ def shared_spans(df: DataFrame, fields: list[str], id_col: str = "result_id", mi
     names = [f"t{i}" for i in range(len(fields))]
     seen = checkpointed(_anchor_rows(texts, names, min_length))
     shared = seen.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("h")
-    wanted = seen.join(shared, "h").groupBy("id").agg(F.collect_set(F.struct("h", "id", "f", "pos")).alias("want"))  # as many as the record's own texts have
+    wanted = salted_join(seen, shared, ["h"], F.col("id"), "inner").groupBy("id").agg(F.collect_set(F.struct("h", "id", "f", "pos")).alias("want"))  # as many as the record's own texts have
     held = checkpointed(_segments(texts, wanted, names, min_length))
 
     contexts = held.groupBy("h", "ctx").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.any_value("l").alias("l"), F.any_value("c").alias("c"), F.any_value("r").alias("r"))

@@ -15,6 +15,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from ..operators.scale import salted_join
 from ..session import checkpointed
 from .common import WHITE_SPACE, map_batches
 from .lookalikes import plain
@@ -233,7 +234,10 @@ def truncated(df: DataFrame, field: str = "humanized_text", id_col: str = "resul
     looked = _lookup(finals, words)
     ends = signs.where("what = 'e'").groupBy("kind", "token").agg(F.sum("n").alias("c")).where("c >= 2").select("kind", "token", F.lit(True).alias("ends"))
     lines = left.where("line is not null").groupBy("line").agg(F.count("*").alias("c")).where("c >= 3").select("line", F.lit(True).alias("usual"))
-    judged = left.join(looked, "token", "left").join(ends, ["kind", "token"], "left").join(lines, "line", "left").join(limits, "source", "left")
+    # many texts end alike, and sources are few: the joins are salted on the records' side
+    judged = left
+    for right, keys in ((looked, ["token"]), (ends, ["kind", "token"]), (lines, ["line"]), (limits, ["source"])):
+        judged = salted_join(judged, right, keys, F.col("row_id"))
     length = F.when(F.col("measure") == "bytes", F.col("n_bytes")).otherwise(F.col("n"))
     at_limit = F.coalesce((length >= F.col("low")) & (length <= F.col("high")), F.lit(False))
     fragment = F.coalesce(~F.col("known") & F.col("prefix"), F.lit(False))
