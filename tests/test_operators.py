@@ -1,6 +1,7 @@
 """Operators over small tables, and against plain Python."""
 
 import io
+import os
 import random
 import re
 import zipfile
@@ -239,5 +240,5 @@ def test_query_tables_need_no_session():
     import subprocess
     import sys
 
-    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q))"], capture_output=True, text=True, cwd=sys.path[0])
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q))"], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert out.returncode == 0 and int(out.stdout) > 100
