@@ -242,3 +242,9 @@ def test_query_tables_need_no_session():
 
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q))"], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert out.returncode == 0 and int(out.stdout) > 100
+
+
+def test_entry(spark):
+    import __spark_entry__ as E
+
+    assert E.entry(spark).columns == ["source_idx", "doc_id", "common", "source_ngrams", "overlap"] and E.entry(spark).count() > 0
