@@ -56,26 +56,34 @@ def test_fidelity(spark):
     assert out[4].total_checks == out[5].total_checks == 0 and out[4].fidelity_score == 100.0
 
 
+# Patterns of numbers before headings and of the body's and the references' first words (fixed values).
+NUMBERED = r"^(?:(?:section|chapter|chap\.?)\s+)?(?:\d+(?:\.\d+)*|[ivxlcdm]+)[.\s\-–—:]+\s*"
+BODY = r"(?:chapter\s+1\b|1\.?\s+[a-z]|introduction\b|abstract\b)"
+BACK = r"(?:references|bibliography|works cited|literature cited)\b"
+
+
 def brute_sections(blocks):
-    """(text, level) of a document in order: its sections."""
+    """(text, level) of a document in order: its sections, by the rule read as a whole."""
     from vellumine.functions.patterns import SECTIONS
 
-    def detect(t):
-        clean = re.sub(r"^(?:(?:section|chapter|chap\.?)\s+)?(?:(?:\d+(?:\.\d+)*)|(?:[ivxlcdm]+))[\.\s\-–—:]+\s*", "", t.lower().strip(), flags=re.I).strip()
-        return next((n for n, ws in SECTIONS.items() if any(re.search(r"\b" + re.escape(w) + r"\b", clean) for w in ws)), "general")
-
-    out, now, begun = [], "front_matter", False
-    for text, level in blocks:
-        found = detect(text)
-        if not begun:
-            if found in ("abstract", "introduction", "methodology", "literature_review") or re.search(r"^(?:chapter\s+1\b|1\.?\s+[a-zA-Z]|introduction\b|abstract\b)", text, re.I):
-                begun, now = True, "introduction" if found in ("general", "front_matter") else found
-        elif found == "references" or re.search(r"^(?:references\b|bibliography\b|works cited\b|literature cited\b)", text, re.I):
-            now = "references"
-        elif 1 <= level <= 2 and found not in ("general", "front_matter"):
-            now = found
-        out.append(now)
-    return out
+    def kind(text):
+        bare = re.sub(NUMBERED, "", text.lower().strip()).strip()
+        hits = [name for name, words in SECTIONS.items() for w in words if re.search(rf"\b{re.escape(w)}\b", bare)]
+        return hits[0] if hits else "general"
+
+    kinds = [kind(t) for t, _ in blocks]
+    opening = [k in ("abstract", "introduction", "methodology", "literature_review") or bool(re.match(BODY, t, re.I)) for k, (t, _) in zip(kinds, blocks)]
+    if True not in opening:
+        return ["front_matter"] * len(blocks)
+    first = opening.index(True)
+    told = {first: "introduction" if kinds[first] in ("general", "front_matter") else kinds[first]}
+    for i in range(first + 1, len(blocks)):
+        text, level = blocks[i]
+        if kinds[i] == "references" or re.match(BACK, text, re.I):
+            told[i] = "references"
+        elif level in (1, 2) and kinds[i] not in ("general", "front_matter"):
+            told[i] = kinds[i]
+    return ["front_matter" if i < first else told[max(j for j in told if j <= i)] for i in range(len(blocks))]
 
 
 def brute_packing(rows, most):

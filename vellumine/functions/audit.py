@@ -61,7 +61,8 @@ def score() -> Column:
 
 def level() -> Column:
     s = F.col("score")
-    return F.when((s >= 60) | (F.size("leaks") > 0), "High AI Probability").when(s >= 25, "Moderate AI Signals").when(s > 0, "Low AI Markers").otherwise("Clean / Human-like")
+    high, moderate, low, clean = P.AUDIT_LEVELS
+    return F.when((s >= 60) | (F.size("leaks") > 0), high).when(s >= 25, moderate).when(s > 0, low).otherwise(clean)
 
 
 def band(score_: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from . import patterns as P, text as T
 
+# What counts as a number, a unit, a callout and so on (fixed values).
 NUMBER = rf"{P.D}+(?:\.{P.D}+)?"
 P_VALUE = rf"{P.B}[pP](?:[-{P.WS}]?value)?{P.S}*(?:[<=>≥≤]|(?:{P.B}(?:less|greater){P.S}+than{P.B})){P.S}*{NUMBER}{P.B}"
 PERCENTAGE = rf"{P.B}{NUMBER}{P.S}*%{P.B}"

@@ -59,7 +59,12 @@ SECTIONS = {
 }
 PROTECTED = ("front_matter", "references")
 
+# Labels of tiers, from highest to lowest (fixed values).
+AUDIT_LEVELS = ("High AI Probability", "Moderate AI Signals", "Low AI Markers", "Clean / Human-like")
+RISK_LEVELS = ("High Similarity / Verbatim Matching", "Moderate Risk / Partial Overlap", "Low Similarity / Minor Coincidence", "Clean / Highly Original", "Clean / 100% Original")
+
 #: An optional number of a caption, and what may stand behind it.
+# The forms of captions (fixed values).
 _CAPTION_REST = rf"{S}*({D}+[a-zA-Z]?(?:[-.]{D}+)?)?{S}*[:.-]?{S}+([^\n]*)\n?$"
 FIGURE_CAPTION = rf"(?iu)^{S}*(?:figure|fig\.?){_CAPTION_REST}"
 TABLE_CAPTION = rf"(?iu)^{S}*(?:table|tbl\.?){_CAPTION_REST}"

@@ -26,6 +26,7 @@ def citation_entries(sources: DataFrame, style: str = "APA", name: str = "source
     author = F.when(token == "", "Author").otherwise(_title(token))
     rows = sources.select(F.col(index), n.alias("filename"), found.alias("year"), title.alias("title"), author.alias("author"))
     i = F.col(index).cast("string")
+    # the styles' forms (fixed values)
     if style == "IEEE":
         in_text, entry = F.concat(F.lit("["), i, F.lit("]")), F.concat(F.lit("["), i, F.lit("] "), "author", F.lit(' et al., "'), "title", F.lit('," '), "year", F.lit("."))
     elif style == "Harvard":

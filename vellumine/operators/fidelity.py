@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import entities as E, patterns as P
 
-#: (type, entity of the original, severity, how its presence is tested)
+# Checks in order: type, entity of the original, severity (fixed values).
 RULES = (("Figure Callout", "figures", "HIGH"), ("Table Callout", "tables", "HIGH"), ("Statistical P-Value", "p_values", "CRITICAL"), ("Scientific Metric", "unit_metrics", "HIGH"), ("Residue / Structure Code", "residues", "MEDIUM"), ("Numerical Data", "raw_numbers", "MEDIUM"), ("Citation Year", "years", "CRITICAL"))
 
 

@@ -20,7 +20,8 @@ def ngrams(toks: Column, n: int) -> Column:
 
 
 def risk(overlap: Column, five: Column) -> Column:
-    return F.when((overlap >= 25) | (five > 15), "High Similarity / Verbatim Matching").when((overlap >= 10) | (five > 5), "Moderate Risk / Partial Overlap").when(overlap > 0, "Low Similarity / Minor Coincidence").otherwise("Clean / Highly Original")
+    high, moderate, low, clean, _ = P.RISK_LEVELS
+    return F.when((overlap >= 25) | (five > 15), high).when((overlap >= 10) | (five > 5), moderate).when(overlap > 0, low).otherwise(clean)
 
 
 def badge(overlap: Column) -> Column:
@@ -39,7 +40,7 @@ def pair_similarity(df: DataFrame, original: str, rewritten: str, n: int = 4, ke
     common = grams.select("*", *(F.array_intersect(f"__o{k}", f"__r{k}").alias(f"__c{k}") for k in sizes))
     pct = {k: T.percent(F.size(f"__c{k}"), F.greatest(F.size(f"__o{k}"), F.lit(1))) for k in sizes}
     out = common.select(*keep, F.lit(n).alias("n"), F.size(f"__o{n}").alias("original_ngrams"), F.size(f"__r{n}").alias("rewritten_ngrams"), F.size(f"__c{n}").alias("matching_ngrams"), pct[n].alias("overlap"), pct[3].alias("three_gram_overlap"), pct[5].alias("five_gram_overlap"), F.slice(F.array_sort(f"__c{n}"), 1, 15).alias("matching_sequences"), "__empty")
-    return out.select(*keep, "n", "original_ngrams", "rewritten_ngrams", "matching_ngrams", "overlap", (F.round((1000 - F.col("overlap") * 10)) / 10).alias("originality"), "three_gram_overlap", "five_gram_overlap", F.when(F.col("__empty"), "Clean / 100% Original").otherwise(risk(F.col("overlap"), F.col("five_gram_overlap"))).alias("risk_level"), "matching_sequences")
+    return out.select(*keep, "n", "original_ngrams", "rewritten_ngrams", "matching_ngrams", "overlap", (F.round((1000 - F.col("overlap") * 10)) / 10).alias("originality"), "three_gram_overlap", "five_gram_overlap", F.when(F.col("__empty"), P.RISK_LEVELS[4]).otherwise(risk(F.col("overlap"), F.col("five_gram_overlap"))).alias("risk_level"), "matching_sequences")
 
 
 def gram_rows(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:

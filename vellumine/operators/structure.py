@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from ..functions import patterns as P, text as T
 from .scale import prefix_sums
 
+# Numbers before headings, and divider rows of tables (fixed values).
 NUMBERING = rf"(?iu)^(?:(?:section|chapter|chap\.?){P.S}+)?(?:(?:{P.D}+(?:\.{P.D}+)*)|(?:[ivxlcdm]+))[.{P.WS}\-–—:]+{P.S}*"
 DIVIDER = rf"^\|[{P.WS}\-:|]+\|$"
 
@@ -77,6 +78,7 @@ def is_list_item(text: Column) -> Column:
 
 def is_cover_line(text: Column) -> Column:
     """Lines of signatures and title pages: rules of underscores or hyphens, or a short line with a cover word."""
+    # fixed values
     words = ("department", "university", "faculty", "submitted by", "advisor", "supervisor", "dated", "session", "campus", "karachi", "certificate")
     return text.contains("____") | text.contains("----") | ((T.word_count(text) < 12) & F.lower(text).rlike(P.alternatives(words)))
 
