@@ -256,3 +256,21 @@ def test_entry(spark):
     import __spark_entry__ as E
 
     assert E.entry(spark).columns == ["source_idx", "doc_id", "common", "source_ngrams", "overlap"] and E.entry(spark).count() > 0
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    from vellumine.sources import sinks as K
+
+    text = "# One & two\n\nA body <b>.\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n- x\n- y\n\n## Sub\n\nEnd."
+    blocks = O.docx_blocks(K.docx_bytes(text))
+    assert [(b["type"], b["text"], b["level"]) for b in blocks] == [("heading", "One & two", 1), ("paragraph", "A body <b>.", 0), ("table", "| a | b |\n| --- | --- |\n| 1 | 2 |", 0), ("list_item", "x", 0), ("list_item", "y", 0), ("heading", "Sub", 2), ("paragraph", "End.", 0)]
+    assert "Table of Contents" in O.docx_text(K.docx_bytes(text, contents=True))
+    assert O.pptx_text(K.pptx_bytes("# A\nx\n---\n# B\n- y\nz")) == "# Slide 1: A\n\nx\n\n---\n\n# Slide 2: B\n\ny\n\nz"
+    assert O.pdf_text(K.pdf_bytes("# T (1)\n\nline \\ two")) == "T (1)\nline \\ two"
+    assert K.docx_bytes(text) == K.docx_bytes(text)
+    df = spark.createDataFrame([("a/b", text), ("c", None)], "name string, text string")
+    for kind in K.WRITERS:
+        K.write_files(df, str(tmp_path / kind), kind, "name")
+        assert sorted(os.listdir(tmp_path / kind)) == [f"a_b.{kind}", f"c.{kind}"]
+    back = {r.path.rpartition("/")[2]: r for r in O.read_documents(spark, str(tmp_path)).collect()}
+    assert len(back) == 8 and all(r.error is None for r in back.values())  # the two empty text files give no rows

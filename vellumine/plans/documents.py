@@ -253,3 +253,22 @@ def stream_audit_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("stream_audit_windows", stream_audit_windows, f"SELECT date_trunc('day', ingested_at)::TIMESTAMP AS start, count(*) AS records, max(score) AS most, sum(triggers)::BIGINT AS triggers FROM ({cleaning.audit_sql('humanized_text', extra=', ingested_at')}) WHERE ingested_at IS NOT NULL GROUP BY 1")
+
+
+def struct_s20_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as Word files and back: their blocks by kind."""
+    from ..sources.office import docx_blocks
+    from ..sources.sinks import to_documents
+
+    def read(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(int(n), b["type"]) for n, c in zip(pdf["name"], pdf["content"]) for b in docx_blocks(bytes(c))]
+            yield pd.DataFrame(rows, columns=["doc_id", "type"])
+
+    files = to_documents(table(spark, d, "documents"), "docx", "doc_id")
+    return files.mapInPandas(read, "doc_id bigint, type string").groupBy("doc_id", "type").agg(F.count("*").alias("blocks"))
+
+
+add("struct_s20_documents", struct_s20_documents)

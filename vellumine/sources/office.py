@@ -193,7 +193,7 @@ READERS = {"docx": docx_text, "pptx": pptx_text, "pdf": pdf_text, "txt": plain_t
 
 
 def read_documents(spark: SparkSession, path: str, tables: bool = True) -> DataFrame:
-    """``path, file_type, text, error`` of all files under a path whose type is known."""
+    """``path, file_type, text, error`` of all files under a path whose type is known; files of no bytes give no rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{docx,pptx,pdf,txt,md,DOCX,PPTX,PDF,TXT,MD}").load(path).select("path", "content")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
