@@ -104,3 +104,7 @@ def test_bounds(spark):
     assert [tuple(r.b) for r in df.select(L.bounds(F.col("w")).alias("b")).collect()] == [(20, 35), (84, 124), (85, 125), (225, 265)]
     assert [tuple(r.b) for r in df.select(L.abstract_bounds(F.col("w")).alias("b")).collect()] == [(20, 35), (84, 124), (200, 250), (220, 270)]
     assert df.select(L.bounds(F.col("w"), "concise").alias("b")).first().b.low == 30
+
+
+def test_digits_of_other_scripts(spark):
+    assert [c.num for c in values(spark, E.citations, ["[９] and [१२]"])[0]] == [9, 12]

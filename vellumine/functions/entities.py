@@ -76,7 +76,7 @@ def years(text: Column) -> Column:
 
 def citations(text: Column) -> Column:
     """Bracketed citations in order, with their first number."""
-    return F.transform(T.matches_of(plain_dashes(text), CITATION), lambda m: F.struct(F.regexp_extract(m, rf"({P.D}+)", 1).cast("int").alias("num"), m.alias("raw")))
+    return F.transform(T.matches_of(plain_dashes(text), CITATION), lambda m: F.struct(F.translate(F.regexp_extract(m, rf"({P.D}+)", 1), *P.DIGITS).try_cast("int").alias("num"), m.alias("raw")))
 
 
 def entities(text: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+#: Decimal digits of other scripts, and the plain ones in their order (fixed values).
+DIGITS = "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९๐๑๒๓๔๕๖๗๘๙", "0123456789" * 5
 #: White space as Python's ``str.split`` has it.
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 S, NS = f"[{WS}]", f"[^{WS}]"

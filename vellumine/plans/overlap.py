@@ -196,7 +196,7 @@ column("ent_n07_tables", lambda: {"found": E.tables(F.col(H))}, {"found": _list(
 _residue = rf"[A-Z][a-z]{{2}}{P.D}{{1,4}}|PDB{_s2}(?:::|{P.S}{{2}}){_s2}[0-9][A-Za-z0-9]{{3}}"
 column("ent_n08_residues", lambda: {"found": E.residues(F.col(H))}, {"found": _list(f"list_transform({_hits(H, _residue)}, lambda x: {_single('x')})")})
 _cites = f"regexp_extract_all({_dash}, {Q.lit(E.CITATION)})"
-column("ent_n10_citations", lambda: {"nums": F.transform(E.citations(F.col(H)), lambda x: x["num"]), "raws": F.transform(E.citations(F.col(H)), lambda x: x["raw"])}, {"nums": f"list_transform({_cites}, lambda m: regexp_extract(m, '({P.D}+)', 1)::INT)", "raws": _cites})
+column("ent_n10_citations", lambda: {"nums": F.transform(E.citations(F.col(H)), lambda x: x["num"]), "raws": F.transform(E.citations(F.col(H)), lambda x: x["raw"])}, {"nums": f"list_transform({_cites}, lambda m: TRY_CAST(translate(regexp_extract(m, '({P.D}+)', 1), '{P.DIGITS[0]}', '{P.DIGITS[1]}') AS INT))", "raws": _cites})
 _ascii = r"[^\p{Nd}a-zA-Z0-9_]"  # other digits are part of numbers
 _numbers = rf"list_transform(regexp_extract_all(regexp_replace({_dash}, '({_ascii})', '\1\1', 'g'), {Q.lit(rf'(?:^|{_ascii})((?:--|[+][+])?{P.D}+(?:\.\.{P.D}+)?(?:[eE](?:--|[+][+])?{P.D}+)?)(?:$|{_ascii})')}, 1), lambda x: regexp_replace(x, '([-+.])([-+.])', '\1', 'g'))"
 _keep = rf"(contains(n, '.') OR regexp_matches(n, '^[-+]') OR (regexp_full_match(n, '{P.D}+') AND NOT regexp_full_match(n, '0*{P.D}')))"
@@ -235,7 +235,7 @@ def _year_list(t: str) -> str:
 
 
 def _cite_nums(t: str) -> str:
-    return f"list_transform(regexp_extract_all({_dashed(t)}, {Q.lit(E.CITATION)}), lambda m: regexp_extract(m, '({P.D}+)', 1)::INT)"
+    return f"list_transform(regexp_extract_all({_dashed(t)}, {Q.lit(E.CITATION)}), lambda m: TRY_CAST(translate(regexp_extract(m, '({P.D}+)', 1), '{P.DIGITS[0]}', '{P.DIGITS[1]}') AS INT))"
 
 
 column("ent_n04_units", lambda: {"found": E.unit_metrics(F.col(H))}, {"found": _metrics(_dash)})
