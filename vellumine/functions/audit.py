@@ -71,11 +71,14 @@ def band(score_: Column) -> Column:
 
 def rhythm(text: Column) -> Column:
     """Sentence lengths in words: count, mean, sample deviation and a label; the latter three from two sentences on."""
-    lengths = F.transform(T.sentences(text), lambda s: T.words_in(s).cast("long"))
-    n = F.size(lengths).cast("long")
-    total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
-    squares = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x * x)
-    variance = (n * squares - total * total).cast("double") / (n * (n - 1)).cast("double")
-    deviation = F.floor(F.sqrt(variance) * 10 + 0.5) / 10
-    many = n >= 2
-    return F.struct(n.cast("int").alias("sentences"), F.when(many, T.one_decimal(total, n)).alias("mean_length"), F.when(many, deviation).alias("deviation"), F.when(many, F.when(deviation >= 7, "high").when(deviation >= 4, "moderate").otherwise("low")).alias("label"))
+    zero = F.lit(0).cast("long")
+    sums = lambda ls: F.struct(F.size(ls).cast("long").alias("n"), F.aggregate(ls, zero, lambda a, x: a + x).alias("total"), F.aggregate(ls, zero, lambda a, x: a + x * x).alias("squares"))
+
+    def figures(s: Column) -> Column:
+        n, total = s["n"], s["total"]
+        variance = (n * s["squares"] - total * total).cast("double") / (n * (n - 1)).cast("double")
+        deviation = F.when(n >= 2, F.floor(F.sqrt(variance) * 10 + 0.5) / 10)
+        label = F.when(deviation >= 7, "high").when(deviation >= 4, "moderate").when(deviation.isNotNull(), "low")
+        return F.struct(n.cast("int").alias("sentences"), F.when(n >= 2, T.one_decimal(total, n)).alias("mean_length"), deviation.alias("deviation"), label.alias("label"))
+
+    return T.let(T.let(F.transform(T.sentences(text), lambda x: T.words_in(x).cast("long")), sums), figures)

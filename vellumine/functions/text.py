@@ -12,6 +12,11 @@ from pyspark.sql.functions import pandas_udf
 from . import patterns as P
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def count_of(text: Column, pattern: str) -> Column:
     """How often a pattern matches; null texts count as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern))
@@ -136,12 +141,15 @@ ENDINGS = (
 
 def clean_output(text: Column) -> Column:
     """A tool's answer without its wrapping: fence, quotes, openings, endings, left-behind tokens, spare space."""
-    t = strip(F.coalesce(text, F.lit("")))
     fence = rf"(?s)^```(?:text|markdown|plain)?{P.S}*\n(.*?)```{P.S}*$"
-    t = F.when(t.rlike(fence), strip(F.regexp_extract(t, fence, 1))).otherwise(t)
-    inner = strip(F.regexp_replace(t, r"(?s)^.|.\z", ""))
-    wrapped = (F.length(t) >= 2) & ((t.startswith('"') & t.endswith('"')) | (t.startswith("'") & t.endswith("'")))
-    t = F.when(wrapped & (F.length(inner) > 50), inner).otherwise(t)
+    t = let(strip(F.coalesce(text, F.lit(""))), lambda t: F.when(t.rlike(fence), strip(F.regexp_extract(t, fence, 1))).otherwise(t))
+
+    def unquoted(t: Column) -> Column:
+        wrapped = (F.length(t) >= 2) & ((t.startswith('"') & t.endswith('"')) | (t.startswith("'") & t.endswith("'")))
+        inner = strip(F.regexp_replace(t, r"(?s)^.|.\z", ""))
+        return F.when(wrapped & (F.length(t) > 52), F.when(F.length(inner) > 50, inner).otherwise(t)).otherwise(t)
+
+    t = let(t, unquoted)
     for pattern in OPENINGS:
         t = strip(F.regexp_replace(t, pattern, ""))
     for pattern in ENDINGS:
@@ -173,5 +181,4 @@ def tail_sentence(text: Column) -> Column:
 def last_long_sentence(text: Column, least: int = 4) -> Column:
     """The last sentence, its mark kept, of at least ``least`` words; else the last one."""
     parts = F.filter(F.transform(F.split(strip(F.coalesce(text, F.lit(""))), rf"(?<=[.!?]){P.S}+"), strip), lambda s: s != "")
-    long_ = F.filter(parts, lambda s: words_in(s) >= least)
-    return F.coalesce(F.get(F.reverse(long_), F.lit(0)), F.get(F.reverse(parts), F.lit(0)), F.lit(""))
+    return let(parts, lambda p: F.coalesce(F.get(F.reverse(F.filter(p, lambda s: words_in(s) >= least)), F.lit(0)), F.get(F.reverse(p), F.lit(0)), F.lit("")))

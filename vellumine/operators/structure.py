@@ -54,12 +54,15 @@ def cells_to_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def section_of(heading: Column) -> Column:
     """The first section class one of whose key words a heading, without its number, has."""
-    clean = T.strip(F.regexp_replace(T.strip(F.lower(F.coalesce(heading, F.lit("")))), NUMBERING, ""))
-    # most blocks have none of the words, and one look tells
-    out = F.when(~clean.rlike(P.whole([w for ws in P.SECTIONS.values() for w in ws])), "general")
-    for name, words in P.SECTIONS.items():
-        out = out.when(clean.rlike(P.whole(words)), name)
-    return out.otherwise("general")
+    words = [w for ws in P.SECTIONS.values() for w in ws]
+
+    def lookup(clean: Column) -> Column:
+        out = F.when(~clean.rlike(P.whole(words)), "general")  # most blocks have none of the words, and one look tells
+        for name, own in P.SECTIONS.items():
+            out = out.when(clean.rlike(P.whole(own)), name)
+        return out.otherwise("general")
+
+    return T.let(T.strip(F.regexp_replace(T.strip(F.lower(F.coalesce(heading, F.lit("")))), NUMBERING, "")), lookup)
 
 
 def caption(text: Column, pattern: str) -> Column:
