@@ -34,7 +34,7 @@ def occurrences(text: Column, part: str) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, f"^{P.S}+|{P.S}+$", "")
+    return F.btrim(text, F.lit(P.BLANKS))
 
 
 def word_count(text: Column) -> Column:
@@ -46,6 +46,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[.!?]+"), strip), lambda s: s != "")
 
 
+def sentence_count(text: Column) -> Column:
+    """How many sentences there are, without making them."""
+    return count_of(text, f"[^.!?]*[^.!?{P.WS}][^.!?]*")
+
+
 def words_in(part: Column) -> Column:
     """Words of an element inside a higher-order function."""
     return F.regexp_count(part, F.lit(f"{P.NS}+"))

@@ -99,7 +99,7 @@ for _id, _n in (("p05", "negative_parallelisms"), ("p06", "trailing_participles"
 column("audit_p10_marks", lambda: {n: A.counts(F.col(H))[n] for n in ("exclamations", "questions")}, {n: _sqls[n] for n in ("exclamations", "questions")})
 _words = f"greatest({Q.words(H)}, 1)"
 _sents = f"len({Q.sentences(H)})::INT"
-column("audit_p12_sentences", lambda: {"words": F.greatest(T.word_count(F.col(H)), F.lit(1)), "sentences": F.size(T.sentences(F.col(H))), "mean_length": F.when(F.size(T.sentences(F.col(H))) > 0, T.one_decimal(F.greatest(T.word_count(F.col(H)), F.lit(1)), F.size(T.sentences(F.col(H))))).otherwise(0.0)}, {"words": _words, "sentences": _sents, "mean_length": f"CASE WHEN {_sents} > 0 THEN {Q.one_decimal(_words, _sents)} ELSE 0 END"})
+column("audit_p12_sentences", lambda: {"words": F.greatest(T.word_count(F.col(H)), F.lit(1)), "sentences": T.sentence_count(F.col(H)), "mean_length": F.when(T.sentence_count(F.col(H)) > 0, T.one_decimal(F.greatest(T.word_count(F.col(H)), F.lit(1)), T.sentence_count(F.col(H)))).otherwise(0.0)}, {"words": _words, "sentences": _sents, "mean_length": f"CASE WHEN {_sents} > 0 THEN {Q.one_decimal(_words, _sents)} ELSE 0 END"})
 
 
 def _audited(spark: SparkSession, d: str, field: str = H, source: str = "chunk_result", key: str = "result_id") -> DataFrame:

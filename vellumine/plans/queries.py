@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ..functions import patterns as P
 from . import cleaning, documents, overlap
 
 QUERIES, SQL = {}, {}
 for _module in (cleaning, overlap, documents):
     QUERIES |= _module.QUERIES
-    SQL |= _module.SQL
+    SQL |= {name: sql.replace(P.WS, P.WS_RANGES) for name, sql in _module.SQL.items()}
