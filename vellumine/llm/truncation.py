@@ -3,7 +3,8 @@
 One pass reads each text's last unit: running text must end in a closing mark, other units (list items, captions, cells,
 headings, Thai sentences) need not. What the marks leave open is settled by the corpus: a trie of its vocabulary finds
 final tokens that are unknown proper prefixes of known words, final words of list items and the like are compared with
-those that end such units within texts, and lengths at which a source's open texts pile up are its field limits.
+those that end such units within texts, and lengths at which a source's open texts pile up are its field limits. A strange
+final word is let pass where many different texts end in the same two units, as those of one template do.
 """
 
 from __future__ import annotations
@@ -121,8 +122,12 @@ def read_end(text: str, units: list[tuple[int, int]]) -> tuple[str, str, str]:
     return "whole", kind, token
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).digest()
+
+
 def _signs(df: DataFrame, field: str, id_col: str, source: str, order: Column) -> DataFrame:
-    """Rows of four kinds: ``r`` records, ``v`` vocabulary, ``e`` ends of units within texts, ``l`` last lines."""
+    """Rows of three kinds: ``r`` records, ``v`` vocabulary, ``e`` ends of units within texts; records have digests of their last lines and of what leads to them."""
     kept = df.select(F.col(id_col).cast("bigint").alias("row_id"), order.cast("timestamp").alias("o"), F.col(source).cast("string").alias("source"), F.col(field).alias("t"))
 
     def make():
@@ -132,12 +137,17 @@ def _signs(df: DataFrame, field: str, id_col: str, source: str, order: Column) -
             out: list[tuple] = []
             for i, o, s, t in zip(ids, orders, sources, texts):
                 if t is None:
-                    out.append(("r", i, o, s, "whole", "none", "", 0, 0, None))
+                    out.append(("r", i, o, s, "whole", "none", "", 0, 0, None, None))
                     continue
                 units = sentence_units(t)
                 state, kind, token = read_end(t, units)
-                line = hashlib.blake2b(t[units[-1][0] :].strip(_STRIP).encode("utf-8", "surrogatepass"), digest_size=12).digest() if state == "open" else None
-                out.append(("r", i, o, s, state, kind, token, len(t), len(t.encode("utf-8", "surrogatepass")), line))
+                line = lead = None
+                if state == "open" and len(units) > 1:
+                    # the last unit behind the whole one before it, and the words that lead to them
+                    at = units[-2][0]
+                    line = _digest(t[at:].strip(_STRIP))
+                    lead = _digest(" ".join(_WORD.findall(plain(t[:at]).lower())))
+                out.append(("r", i, o, s, state, kind, token, len(t), len(t.encode("utf-8", "surrogatepass")), line, lead))
                 for a, b in units[:-1]:
                     head = t[a]
                     if head in "-*•#|" or _THAI.match(t, b - 1) or _THAI.match(head):
@@ -153,13 +163,13 @@ def _signs(df: DataFrame, field: str, id_col: str, source: str, order: Column) -
                     if found and token and token != "0" and found[-1] == token:
                         found.pop()
                     words.update(found)
-            out += [("v", 0, None, None, None, None, w, n, 0, None) for w, n in words.items()]
-            out += [("e", 0, None, None, None, k, w, n, 0, None) for (k, w), n in ends.items()]
+            out += [("v", 0, None, None, None, None, w, n, 0, None, None) for w, n in words.items()]
+            out += [("e", 0, None, None, None, k, w, n, 0, None, None) for (k, w), n in ends.items()]
             return [list(c) for c in zip(*out)]
 
         return signs
 
-    return map_batches(kept, make, "what string, row_id bigint, o timestamp, source string, state string, kind string, token string, n bigint, n_bytes bigint, line binary")
+    return map_batches(kept, make, "what string, row_id bigint, o timestamp, source string, state string, kind string, token string, n bigint, n_bytes bigint, line binary, lead binary")
 
 
 class Trie:
@@ -219,6 +229,12 @@ def _limits(records: DataFrame, width: int = 12, least: int = 5, share: float =
     return peak.withColumn("r", F.row_number().over(one)).where("r = 1").select("source", "measure", "low", F.col("len").alias("high"))
 
 
+def _usual(records: DataFrame, least: int = 3, share: float = 1e-4) -> DataFrame:
+    """``line, usual``: last lines to which different texts lead, ``least`` and ``share`` of all records at least."""
+    by = records.where("line is not null").groupBy("line").agg(F.count_distinct("lead").alias("c")).where(F.col("c") >= least)
+    return by.crossJoin(F.broadcast(records.agg(F.count("*").alias("all")))).where(F.col("c") >= share * F.col("all")).select("line", F.lit(True).alias("usual"))
+
+
 def truncated(df: DataFrame, field: str = "humanized_text", id_col: str = "result_id", source: str = "source", order: Column | None = None) -> DataFrame:
     """For each record: ``row_id``, ``source``, ``cut`` (boolean) and ``why``.
 
@@ -226,14 +242,14 @@ def truncated(df: DataFrame, field: str = "humanized_text", id_col: str = "resul
     counts. A null source has no limits of its own. Other columns are ignored.
     """
     signs = checkpointed(_signs(df, field, id_col, source, F.lit(None) if order is None else order))
-    records = signs.where("what = 'r'").groupBy("row_id").agg(F.max_by(F.struct("source", "state", "kind", "token", "n", "n_bytes", "line"), F.coalesce("o", F.timestamp_seconds(F.lit(0)))).alias("x")).select("row_id", "x.*")
+    records = signs.where("what = 'r'").groupBy("row_id").agg(F.max_by(F.struct("source", "state", "kind", "token", "n", "n_bytes", "line", "lead"), F.coalesce("o", F.timestamp_seconds(F.lit(0)))).alias("x")).select("row_id", "x.*")
     limits = _limits(records)
     left = records.where("state in ('open', 'limit')")
     words = signs.where("what = 'v'").groupBy("token").agg(F.sum("n").alias("c")).where("c >= 2").select("token")
     finals = left.where("state = 'open' and token not in ('', '0')").select("token").distinct()
     looked = _lookup(finals, words)
     ends = signs.where("what = 'e'").groupBy("kind", "token").agg(F.sum("n").alias("c")).where("c >= 2").select("kind", "token", F.lit(True).alias("ends"))
-    lines = left.where("line is not null").groupBy("line").agg(F.count("*").alias("c")).where("c >= 3").select("line", F.lit(True).alias("usual"))
+    lines = _usual(records)
     # many texts end alike, and sources are few: the joins are salted on the records' side
     judged = left
     for right, keys in ((looked, ["token"]), (ends, ["kind", "token"]), (lines, ["line"]), (limits, ["source"])):
@@ -242,7 +258,7 @@ def truncated(df: DataFrame, field: str = "humanized_text", id_col: str = "resul
     at_limit = F.coalesce((length >= F.col("low")) & (length <= F.col("high")), F.lit(False))
     fragment = F.coalesce(~F.col("known") & F.col("prefix"), F.lit(False))
     strange = (F.col("kind").isin("list", "caption", "thai")) & (F.col("token") != "0") & F.col("ends").isNull()
-    why = F.when(F.col("usual").isNotNull(), None).when(F.col("state") == "limit", F.when(at_limit, "limit")).when(F.col("kind") == "table", "row").when(fragment, "fragment").when(strange, "ending").when(at_limit & (F.col("ends").isNull() | (F.col("token") == "0")), "limit")
+    why = F.when(F.col("state") == "limit", F.when(at_limit, "limit")).when(F.col("kind") == "table", "row").when(fragment, "fragment").when(strange & F.col("usual").isNull(), "ending").when(at_limit & (F.col("ends").isNull() | (F.col("token") == "0")), "limit")
     settled = judged.select("row_id", "source", why.isNotNull().alias("cut"), why.alias("why"))
     sure = records.where("state in ('cut', 'whole')").select("row_id", "source", (F.col("state") == "cut").alias("cut"), F.when(F.col("state") == "cut", "open end").alias("why"))
     return sure.unionByName(settled)
