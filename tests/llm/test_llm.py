@@ -161,6 +161,18 @@ def test_copies_of_a_cut_text_are_cut(spark):
     assert {i: w for i, w in out.items() if w} == want | dict.fromkeys(range(310, 314), "fragment") | dict.fromkeys(range(320, 324), "ending")
 
 
+def test_rare_letter_runs_are_no_words(spark):
+    full = "They came after the flood, and the valley stood still thereafter. A lattice lay there."
+    rows = [(i, "x", full, "ok") for i in range(500)]
+    rows += [(600 + i, "x", f"The key is {i}af{i}b9 and 7af here. {full}", "ok") for i in range(9)]  # hex strings
+    rows += [(700, "x", f"The mark vall stands. {full}", "ok")] * 3  # one record, delivered three times
+    rows += [(710 + i, "x", f"A flo came. {full}", "ok") for i in range(2)]  # two slips against 500 words
+    heads = {800: "# On the af", 801: "# On the vall", 802: "# On the flo", 803: "# On the lattice", 804: "# On the sample 7a"}
+    rows += [(i, "x", f"{full}\n\n{h}", "ok") for i, h in heads.items()]
+    out = {r.row_id: r.why for r in U.truncated(spark.createDataFrame(result_rows(*rows), RESULT), order=F.col("ingested_at")).collect()}
+    assert {i: w for i, w in out.items() if w} == dict.fromkeys((800, 801, 802), "fragment")
+
+
 def test_limits_of_sources(spark):
     rng = random.Random(2)
     rows = []

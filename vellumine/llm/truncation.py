@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
@@ -26,6 +27,13 @@ from .sentences import _CAPTION, _ENTRY, _INVISIBLE as _IGNORED, MAYBE, NEVER, s
 STAND_INS = frozenset(("n/a", "na", "none", "null", "nil", "nan", "undefined", "empty", "<empty>", "(empty)", "[empty]", "no output", "[no output]", "(no output)", "(no text returned)", "no text returned", "[no text returned]", "(none)", "<none>", "<null>", "(null)", "-", "tbd", "todo", "[blank]", "(blank)", "<blank>", "missing", "(missing)", "[missing]", "no text", "(no text)", "[no text]", "no response", "[no response]", "(no response)", "no content", "[no content]", "<no content>", "(no content)", "no answer", "(no answer)"))
 _ALNUM = re.compile(r"[^\W_]")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏัิ-ฺ็-๎]){0,63}")
+# words of the vocabulary: no letters joined to digits, as in hex strings
+_KNOWN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏัิ-ฺ็-๎]){0,63}+(?!(?<=[a-z])[0-9])")
+_JOINED = re.compile(r"[0-9]+[a-z][0-9a-z]*")
+#: What a record weighs in counts; its deliveries share it. Divisible by 1 to 16.
+RECORD = 720_720
+#: Up to so many repeated ids are broadcast.
+REPEATS = 1_000_000
 _STRIP = WHITE_SPACE + "".join(chr(c) for c in range(0x110000) if _IGNORED.match(chr(c)))
 _CLOSED = re.compile(r"[.!?。！？｡．؟।॥]+[\"'”’“»」』）)\]}\s`*_]*$")
 _TRACE = re.compile(r"(?:…|\.\.\.|�|\[|\(|<|\[(?:…|\.\.\.|truncated|cut)\]?)$", re.I)
@@ -52,7 +60,7 @@ def _kind(text: str, a: int, b: int) -> str:
 
 
 def final_token(text: str) -> str:
-    """The last run of letters, in lower case; "0" where a digit ends the text, "" where neither does."""
+    """The last run of letters, in lower case; "0" where a digit or letters joined to one end the text, "" where none does."""
     tail = plain(text[-80:]).rstrip(_STRIP + "\"'”’“»」』）)]}`*_.|")
     if not tail:
         return ""
@@ -62,6 +70,8 @@ def final_token(text: str) -> str:
     for m in _WORD.finditer(tail):
         if m.end() == len(tail):
             last = m.group().lower()
+            if last.isascii() and m.start() and tail[m.start() - 1] in "0123456789":
+                last = "0"
     return last
 
 
@@ -129,13 +139,16 @@ def _digest(text: str) -> bytes:
 def _signs(df: DataFrame, field: str, id_col: str, source: str, order: Column) -> DataFrame:
     """Rows of three kinds: ``r`` records, ``v`` vocabulary, ``e`` ends of units within texts; records have digests of their last lines and of what leads to them."""
     kept = df.select(F.col(id_col).cast("bigint").alias("row_id"), order.cast("timestamp").alias("o"), F.col(source).cast("string").alias("source"), F.col(field).alias("t"))
+    repeats = checkpointed(kept.groupBy("row_id").agg(F.count("*").alias("k")).where("k > 1"))
+    kept = kept.join(F.broadcast(repeats) if repeats.count() <= REPEATS else repeats, "row_id", "left").select("row_id", "o", "source", "t", F.coalesce("k", F.lit(1)).alias("k"))
 
     def make():
-        def signs(ids, orders, sources, texts):
+        def signs(ids, orders, sources, texts, deliveries):
             words: Counter[str] = Counter()
+            shared: Counter[str] = Counter()
             ends: Counter[tuple[str, str]] = Counter()
             out: list[tuple] = []
-            for i, o, s, t in zip(ids, orders, sources, texts):
+            for i, o, s, t, times in zip(ids, orders, sources, texts, deliveries):
                 if t is None:
                     out.append(("r", i, o, s, "whole", "none", "", 0, 0, None, None))
                     continue
@@ -156,14 +169,20 @@ def _signs(df: DataFrame, field: str, id_col: str, source: str, order: Column) -
                         k = "caption"
                     else:
                         continue
-                    ends[k, final_token(t[max(a, b - 80) : b])] += 1
+                    ends[k, final_token(t[max(a, b - 80) : b])] += RECORD // times
                 if units:
                     p = plain(t[: units[-1][0]] + " " + t[units[-1][0] : units[-1][1]].rstrip(_STRIP))
-                    found = _WORD.findall(p.lower())
+                    found = _KNOWN.findall(_JOINED.sub(" ", p.lower()))
                     if found and token and token != "0" and found[-1] == token:
                         found.pop()
-                    words.update(found)
-            out += [("v", 0, None, None, None, None, w, n, 0, None, None) for w, n in words.items()]
+                    if times == 1:
+                        words.update(set(found))
+                    else:
+                        for w in set(found):
+                            shared[w] += RECORD // times
+            for w, n in words.items():
+                shared[w] += n * RECORD
+            out += [("v", 0, None, None, None, None, w, n, 0, None, None) for w, n in shared.items()]
             out += [("e", 0, None, None, None, k, w, n, 0, None, None) for (k, w), n in ends.items()]
             return [list(c) for c in zip(*out)]
 
@@ -173,15 +192,16 @@ def _signs(df: DataFrame, field: str, id_col: str, source: str, order: Column) -
 
 
 class Trie:
-    """Words by letters; a node is a dict, the empty key marks a word's end."""
+    """Words by letters; a node is a dict, the empty key holds the count of the word that ends there, None that of all through it."""
 
-    def __init__(self, words):
+    def __init__(self, words, counts=None):
         self.root: dict = {}
-        for w in words:
+        for w, n in zip(words, repeat(1) if counts is None else counts):
             node = self.root
             for c in w:
                 node = node.setdefault(c, {})
-            node[""] = {}
+                node[None] = node.get(None, 0) + n
+            node[""] = node.get("", 0) + n
 
     def look(self, token: str) -> tuple[bool, bool]:
         """Whether the token is a word, and whether it is a proper prefix of one."""
@@ -192,21 +212,33 @@ class Trie:
             node = node[c]
         return "" in node, any(k for k in node)
 
+    def usual(self, token: str, share: float) -> bool:
+        """Whether the token is a word, with a count of ``share`` at least of those of the words that go on from it."""
+        node = self.root
+        for c in token:
+            if c not in node:
+                return False
+            node = node[c]
+        own = node.get("", 0)
+        return own > 0 and own >= share * (node.get(None, 0) - own)
+
 
-def _lookup(finals: DataFrame, words: DataFrame) -> DataFrame:
-    """``token, known, prefix`` for each final token, by a trie for each first pair of letters."""
+def _lookup(finals: DataFrame, words: DataFrame, share: float = 0.005) -> DataFrame:
+    """``token, known, prefix`` for each final token, by a trie for each first pair of letters.
+
+    ``words`` are ``token, c``. A token is known if it is as frequent as ``share`` of the words that go on from it.
+    """
 
     def look(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty:
             return pd.DataFrame({"token": [], "known": [], "prefix": []}).astype({"token": "str", "known": "bool", "prefix": "bool"})
-        trie = Trie(b["token"])
-        found = [trie.look(t) for t in a["token"]]
-        return pd.DataFrame({"token": a["token"], "known": [k for k, _ in found], "prefix": [p for _, p in found]})
+        trie = Trie(b["token"], b["c"].tolist())
+        return pd.DataFrame({"token": a["token"], "known": [trie.usual(t, share) for t in a["token"]], "prefix": [trie.look(t)[1] for t in a["token"]]})
 
     # a one-letter token may go on with any second letter, so it is looked up by its first letter alone
     a2, a1 = finals.where("length(token) > 1"), finals.where("length(token) = 1")
     two = a2.withColumn("h", F.substring("token", 1, 2)).groupBy("h").cogroup(words.where("length(token) > 1").withColumn("h", F.substring("token", 1, 2)).groupBy("h")).applyInPandas(look, "token string, known boolean, prefix boolean")
-    heads = words.groupBy(F.substring("token", 1, 1).alias("token")).agg(F.max(F.length("token") == 1).alias("known"), F.max(F.length("token") > 1).alias("prefix"))
+    heads = words.groupBy(F.substring("token", 1, 1).alias("token")).agg((F.sum(F.when(F.length("token") == 1, F.col("c")).otherwise(0)) >= F.greatest(F.lit(1.0), share * F.sum(F.when(F.length("token") > 1, F.col("c")).otherwise(0)))).alias("known"), F.max(F.length("token") > 1).alias("prefix"))
     return two.unionByName(a1.join(heads, "token", "left").select("token", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("prefix", F.lit(False)).alias("prefix")))
 
 
@@ -245,10 +277,10 @@ def truncated(df: DataFrame, field: str = "humanized_text", id_col: str = "resul
     records = signs.where("what = 'r'").groupBy("row_id").agg(F.max_by(F.struct("source", "state", "kind", "token", "n", "n_bytes", "line", "lead"), F.coalesce("o", F.timestamp_seconds(F.lit(0)))).alias("x")).select("row_id", "x.*")
     limits = _limits(records)
     left = records.where("state in ('open', 'limit')")
-    words = signs.where("what = 'v'").groupBy("token").agg(F.sum("n").alias("c")).where("c >= 2").select("token")
+    words = signs.where("what = 'v'").groupBy("token").agg(F.sum("n").alias("c")).where(F.col("c") >= 2 * RECORD)
     finals = left.where("state = 'open' and token not in ('', '0')").select("token").distinct()
     looked = _lookup(finals, words)
-    ends = signs.where("what = 'e'").groupBy("kind", "token").agg(F.sum("n").alias("c")).where("c >= 2").select("kind", "token", F.lit(True).alias("ends"))
+    ends = signs.where("what = 'e'").groupBy("kind", "token").agg(F.sum("n").alias("c")).where(F.col("c") >= 2 * RECORD).select("kind", "token", F.lit(True).alias("ends"))
     lines = _usual(records)
     # many texts end alike, and sources are few: the joins are salted on the records' side
     judged = left
