@@ -186,6 +186,21 @@ def test_limits_of_sources(spark):
     assert len(found) == 1 and 495 <= found[0].high <= 500
 
 
+def test_two_limits_of_a_source(spark):
+    rng, rows = random.Random(3), []
+    text = "The tuber fell again and again, while membranes " * 40
+    for i in range(70):
+        rows.append((i, "x", text[: (500 if i < 30 else 700 if i < 60 else rng.randint(100, 900)) - 1] + "z", "ok"))
+    for n in (500, 600, 700):  # cut in a heading
+        head = "\n\n# Again the tuber"
+        rows.append((n, "x", text[: n - len(head) - 1] + "." + head, "ok"))
+    df = spark.createDataFrame(result_rows(*rows), RESULT)
+    records = U._signs(df, "humanized_text", "result_id", "source", F.lit(None)).where("what = 'r'")
+    assert sorted(r.high for r in U._limits(records).collect()) == [500, 700]
+    out = {r.row_id: r.why for r in U.truncated(df).where("row_id >= 500").collect()}
+    assert out == {500: "limit", 600: None, 700: "limit"}
+
+
 def test_trie_against_brute_force():
     rng = random.Random(1)
     words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(80)}

@@ -247,6 +247,7 @@ def _limits(records: DataFrame, width: int = 12, least: int = 5, share: float =
 
     A limit is a length, in code points or bytes, up to which at least ``share`` of a source's texts cut in running text
     lie within ``width``, ``least`` of them at least, where an even spread would put less than a tenth as many.
+    A source may have several; of those that overlap, a text counts for the sharpest alone, and each must pass by its own.
     """
     cut = records.where("state = 'cut' and source is not null").select("source", F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("n").alias("len")), F.struct(F.lit("bytes").alias("measure"), F.col("n_bytes").alias("len")))).alias("m")).select("source", "m.*")
     by = cut.groupBy("source", "measure", "len").agg(F.count("*").alias("n"))
@@ -257,8 +258,14 @@ def _limits(records: DataFrame, width: int = 12, least: int = 5, share: float =
     # a sharp limit has its texts at one length (in bytes, a letter less), others within the width below
     sharp = F.col("n") >= 0.5 * F.col("near")
     peak = peak.withColumn("sharp", sharp).withColumn("low", F.when(sharp, F.col("len") - F.when(F.col("measure") == "bytes", 3).otherwise(0)).otherwise(F.col("len") - width))
-    one = Window.partitionBy("source").orderBy(F.desc("sharp"), F.desc(F.when(F.col("sharp"), F.col("n")).otherwise(F.col("near"))), F.desc("len"), "measure")
-    return peak.withColumn("r", F.row_number().over(one)).where("r = 1").select("source", "measure", "low", F.col("len").alias("high"))
+    # candidates of a source, best first; there are few, since each holds a share of its texts
+    rank = F.struct((~F.col("sharp")).alias("blunt"), (-F.when(F.col("sharp"), F.col("n")).otherwise(F.col("near"))).alias("less"), (-F.col("len")).alias("down"), (F.col("measure") == "chars").alias("chars"), "measure", "low", F.col("len").alias("high"), "all")
+    peaks = peak.groupBy("source").agg(F.array_sort(F.collect_list(rank)).alias("peaks"))
+    lengths = records.where("state = 'cut' and source is not null").groupBy("source", "n", "n_bytes").agg(F.count("*").alias("c"))
+    first = F.expr("filter(peaks, p -> CASE WHEN p.measure = 'bytes' THEN n_bytes ELSE n END BETWEEN p.low AND p.high)")
+    held = salted_join(lengths, peaks, ["source"], F.col("n"), "inner").withColumn("p", F.get(first, F.lit(0))).where("p is not null")
+    by = held.groupBy("source", "p").agg(F.sum("c").alias("own")).where((F.col("own") >= least) & (F.col("own") >= share * F.col("p.all")))
+    return by.select("source", "p.measure", "p.low", "p.high")
 
 
 def _usual(records: DataFrame, least: int = 3, share: float = 1e-4) -> DataFrame:
@@ -275,7 +282,7 @@ def truncated(df: DataFrame, field: str = "humanized_text", id_col: str = "resul
     """
     signs = checkpointed(_signs(df, field, id_col, source, F.lit(None) if order is None else order))
     records = signs.where("what = 'r'").groupBy("row_id").agg(F.max_by(F.struct("source", "state", "kind", "token", "n", "n_bytes", "line", "lead"), F.coalesce("o", F.timestamp_seconds(F.lit(0)))).alias("x")).select("row_id", "x.*")
-    limits = _limits(records)
+    limits = _limits(records).groupBy("source").agg(F.collect_list(F.struct("measure", "low", "high")).alias("limits"))
     left = records.where("state in ('open', 'limit')")
     words = signs.where("what = 'v'").groupBy("token").agg(F.sum("n").alias("c")).where(F.col("c") >= 2 * RECORD)
     finals = left.where("state = 'open' and token not in ('', '0')").select("token").distinct()
@@ -286,8 +293,7 @@ def truncated(df: DataFrame, field: str = "humanized_text", id_col: str = "resul
     judged = left
     for right, keys in ((looked, ["token"]), (ends, ["kind", "token"]), (lines, ["line"]), (limits, ["source"])):
         judged = salted_join(judged, right, keys, F.col("row_id"))
-    length = F.when(F.col("measure") == "bytes", F.col("n_bytes")).otherwise(F.col("n"))
-    at_limit = F.coalesce((length >= F.col("low")) & (length <= F.col("high")), F.lit(False))
+    at_limit = F.coalesce(F.expr("exists(limits, x -> CASE WHEN x.measure = 'bytes' THEN n_bytes ELSE n END BETWEEN x.low AND x.high)"), F.lit(False))
     fragment = F.coalesce(~F.col("known") & F.col("prefix"), F.lit(False))
     strange = (F.col("kind").isin("list", "caption", "thai")) & (F.col("token") != "0") & F.col("ends").isNull()
     why = F.when(F.col("state") == "limit", F.when(at_limit, "limit")).when(F.col("kind") == "table", "row").when(fragment, "fragment").when(strange & F.col("usual").isNull(), "ending").when(at_limit & (F.col("ends").isNull() | (F.col("token") == "0")), "limit")
