@@ -426,6 +426,14 @@ def test_classifier_on_held_out_pairs():
     assert all(right[k] / whole[k] > 0.9 for k in whole), (right, whole)
 
 
+def test_copy_behind_a_long_lead_in():
+    o = "The aquifer held the membrane and the sediment, while turbines counted records of it.\n\nA tuber fell. " * 8
+    lead = "Thank you for the draft, which I have read with care and now return to you in the form you asked for; " * 9
+    assert P.copies(o, lead + "\n\n" + o) and P.copies(o, "\n" + lead + "\n" + o + "\n\nDone.") and P.copies(o, o)
+    assert P.copies("Method 12", lead + "on Method 12:\n\nMethod 12")
+    assert not P.copies(o, lead + o) and not P.copies(o, lead + "\n\n" + lead + "\n\n" + o) and not P.copies(o, lead + "\n\n" + o + lead)
+
+
 def test_broken_pairs(spark):
     rng = random.Random(6)
     pairs = [sound_pair(rng, "de" if i % 3 == 0 else "en") for i in range(120)]
