@@ -434,6 +434,13 @@ def test_copy_behind_a_long_lead_in():
     assert not P.copies(o, lead + o) and not P.copies(o, lead + "\n\n" + lead + "\n\n" + o) and not P.copies(o, lead + "\n\n" + o + lead)
 
 
+@pytest.mark.parametrize("was, now", [("kHz", "㎑"), ("سلام", "ﺳﻼﻡ"), ("กำ", "กํา"), ("ß²", "ß²"), ("क़", "क\u093c"), ("é", "e\u0301"), ("fi", "ﬁ")])
+def test_copy_in_other_forms(was, now):
+    o = f"At {was} the aquifer held the membrane and the sediment, while turbines counted records of it. " * 9
+    assert P.skeleton(was) == P.skeleton(now) and P.copies(o, o.replace(was, now)) and P.copies(o.replace(was, now), o)
+    assert not P.copies(o, o.replace("aquifer", "reservoir"))
+
+
 def test_broken_pairs(spark):
     rng = random.Random(6)
     pairs = [sound_pair(rng, "de" if i % 3 == 0 else "en") for i in range(120)]
