@@ -441,6 +441,13 @@ def test_copy_in_other_forms(was, now):
     assert not P.copies(o, o.replace("aquifer", "reservoir"))
 
 
+def test_language_is_that_of_the_running_text():
+    items = "\n".join(f"- the state of the aquifer in the year {i} and that of the membrane" for i in range(12))
+    o = f"The aquifer was in the valley and it was not for the turbine.\n\n{items}"
+    h = f"Der Speicher war in dem Tal und er war nicht für die Turbine, die mit dem Werk und der Stadt verbunden ist.\n\n{items}"
+    assert P.Reader().pair(o, h)[1]["apart"] and not P.Reader().pair(o, o)[1]["apart"]
+
+
 def test_broken_pairs(spark):
     rng = random.Random(6)
     pairs = [sound_pair(rng, "de" if i % 3 == 0 else "en") for i in range(120)]
