@@ -1,11 +1,10 @@
 """Long exact spans that stand in more than one record.
 
-Relative Lempel-Ziv parsing over a distributed index: the corpus itself is the reference, cut into blocks by content.
-Winnowing picks anchors (k-grams whose hash is the least of a window), so that every span of the given length holds one,
-and the anchor's hash names the reference block that all its copies meet in. There, each text is factored greedily
-against the block: from an anchor the match is extended to both sides as far as it goes. Factors of the given length or
-more are duplicate spans; as a factor may end where a copy in a further record begins, the windows over its ends are
-checked too. Only anchors seen in more than one record are looked at, so that no text is compared without need.
+Winnowing and window hashing, in place of a relative Lempel-Ziv parse: no reference block is indexed and no text is
+factored. Winnowing picks anchors (k-grams whose hash is the least of a window), so that every span of the given length
+holds one, and copies meet by the anchor's hash. There, the windows of the given length around the anchor are compared:
+pair by pair where contexts are few, by a table of windows where they are more, and by grouped digests of windows where
+they are very many. Only anchors seen in more than one record are looked at.
 """
 
 from __future__ import annotations
