@@ -4,8 +4,9 @@ Items come in a fixed order; a fixed number of containers is open, kept in a bit
 into the open container with the least free space that still holds it; where none does, a new one is opened, and when
 too many are open the fullest closes first. Items above the capacity are cut into full containers and a rest.
 
-At scale the items are dealt by the hash of their id into shards of bounded size, each packed by one task. What is open
-when a shard ends is packed again as whole items in one further round of the same rule.
+At scale the items are dealt by hash into shards of bounded size, each packed by one task; the bound is a parameter of the
+result, as another one deals the items otherwise. What is open when a shard ends is packed again as whole items in one
+further round of the same rule.
 """
 
 from __future__ import annotations
@@ -72,16 +73,20 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, open_bins: int = 64, s
     """Assign every document to containers of ``capacity`` tokens.
 
     Columns: the id, ``piece`` (0, and further numbers only where a document exceeds the capacity), ``start_token``,
-    ``n_tokens``, ``container``. A null or empty text has 0 tokens and still gets a place. Repeated ids are repeated
-    items, told apart by nothing, so each is placed. An empty table gives an empty result. Other columns are ignored.
+    ``n_tokens``, ``container``. A null or empty text has 0 tokens and still gets a place. Repeated and null ids are
+    items of their own, told apart by a number given to each row, so each is placed and none shares a full container.
+    ``shard_items`` bounds the items of a task and is part of the result's definition. An empty table gives an empty
+    result. Other columns are ignored.
     """
-    sizes = checkpointed(token_counts(docs, id_col, text_col, tokenizer=tokenizer).select(F.col(id_col).alias("id"), "n_tokens"))
-    pieces = sizes.select("id", F.col("n_tokens").alias("all"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"int((n_tokens - 1) div {capacity})")))).alias("piece"))
-    pieces = pieces.select("id", "piece", (F.col("piece").cast("long") * capacity).alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("all") - F.col("piece") * capacity).alias("n_tokens"))
+    sizes = token_counts(docs, id_col, text_col, tokenizer=tokenizer).select(F.col(id_col).alias("id"), "n_tokens")
+    sizes = checkpointed(sizes.withColumn("row", F.monotonically_increasing_id()))  # fixed once written
+    pieces = sizes.select("id", "row", F.col("n_tokens").alias("all"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"int((n_tokens - 1) div {capacity})")))).alias("piece"))
+    start = F.col("piece").cast("long") * capacity
+    pieces = pieces.select("id", "row", "piece", start.alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("all") - start).alias("n_tokens"))
     full, rest = pieces.where(F.col("n_tokens") == capacity), pieces.where(F.col("n_tokens") < capacity)
     shards = max(1, -(-sizes.count() // shard_items))
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long"))
-    first = checkpointed(_packed(dealt, ["id", "piece", "start_token"], capacity, open_bins))
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("id", "row"), F.lit(shards)).cast("long"))
+    first = checkpointed(_packed(dealt, ["id", "row", "piece", "start_token"], capacity, open_bins))
 
     left = first.where("is_open").groupBy("shard", "bin").agg(F.sum("n_tokens").alias("n_tokens"))
     shards2 = max(1, -(-shards * open_bins // shard_items))
@@ -91,7 +96,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, open_bins: int = 64, s
     columns = [F.col("id").alias(id_col), "piece", "start_token", "n_tokens", "container"]
     closed = first.where("not is_open").withColumn("container", name)
     merged = first.where("is_open").join(second, ["shard", "bin"], "left").withColumn("container", F.coalesce("merged", name))
-    alone = full.withColumn("container", F.concat(F.lit("f"), F.col("id"), F.lit("-"), F.col("piece")))
+    alone = full.withColumn("container", F.concat(F.lit("f"), F.col("row"), F.lit("-"), F.col("piece")))
     return closed.select(columns).unionByName(merged.select(columns)).unionByName(alone.select(columns))
 
 
