@@ -123,7 +123,11 @@ def test_same_look_pairs(spark):
     f = L.forms(df, "text", "id", {})
     got = {(r.a_id, r.b_id) for r in L.same_look(f).collect()}
     assert got == {(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)}
+    assert {(r.a_id, r.b_id) for r in L.same_look(f, part=1).collect()} == got
     assert L.same_look(L.forms(df.limit(0), "text", "id", {})).count() == 0
+    classes = {r.row_id: (r.class_id, r.records, r.forms, r.links) for r in L.look_classes(f).collect()}
+    assert classes == {1: (1, 4, 3, 2), 2: (1, 4, 3, 3), 3: (1, 4, 3, 2), 4: (1, 4, 3, 3), 5: (5, 1, 1, 0)} | {i: v for i, v in classes.items() if i > 5}
+    assert not {6, 7, 8} & set(classes) and sum(c[3] for c in classes.values()) == 2 * len(got)
 
 
 # ---- 5 truncation
@@ -328,13 +332,33 @@ def test_pack_documents(spark):
     assert B.pack_documents(df.limit(0)).count() == 0
 
 
+def test_repeated_long_ids_share_no_container(spark):
+    docs = [(7, "word " * 500), (7, "word " * 500), (None, "word " * 350), (None, "word " * 350), (8, "x")]
+    out = B.pack_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), capacity=100, open_bins=4, shard_items=2).collect()
+    used = Counter()
+    for r in out:
+        used[r.container] += r.n_tokens
+    enc = K.encoding(K.TOKENIZER)
+    assert None not in used and max(used.values()) <= 100 and sum(used.values()) == sum(len(enc.encode_ordinary(t)) for _, t in docs)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.integers(0, 60)), max_size=25))
+def test_no_container_exceeds_the_capacity(spark, items):
+    df = spark.createDataFrame([(i, "word " * n) for i, n in items], "doc_id bigint, text string")
+    used = Counter()
+    for r in B.pack_documents(df, capacity=16, open_bins=2, shard_items=5).collect():
+        used[r.container] += r.n_tokens
+    assert all(u <= 16 for u in used.values())
+
+
 # ---- 8 mixing
 def test_mix(spark):
     rng = random.Random(8)
     docs = [(i, "word " * rng.randint(5, 60), s, 3) for i, s in enumerate(["big"] * 400 + ["mid"] * 150 + ["tiny"] * 20 + [None] * 5 + ["other"] * 5)] + [(9999, None, "big", 3), (9998, "", "mid", 3)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string, at int")
     mix = spark.createDataFrame([("big", 0.6, 1), ("mid", 0.3, 2), ("tiny", 0.1, 4), ("absent", 0.0, 3)], "source string, target_share double, max_repeats int")
-    rows = M.mix_sources(df, mix).orderBy("seq").collect()
+    rows = M.mix_sources(df, mix).collect()  # the rows come in their order
     assert [r.seq for r in rows] == list(range(len(rows))) and all(a.at <= b.at for a, b in zip(rows, rows[1:]))
     total = sum(r.n_tokens for r in rows)
     for s, want in (("big", 0.6), ("mid", 0.3), ("tiny", 0.1)):

@@ -17,6 +17,8 @@ import unicodedata
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.scale import salted_join
+from ..session import checkpointed
 from .common import map_batches
 from .sentences import INVISIBLE
 
@@ -168,7 +170,9 @@ def one_form(text: str, reader: Reader) -> str:
 
 def learn(df: DataFrame) -> dict[int, int]:
     """The bigram table of all texts in column ``t``, brought to the driver: its size is bounded by the alphabets."""
-    return {r.pair: r.n for r in bigram_counts(df).toLocalIterator()}
+    found = {r.pair: r.n for r in bigram_counts(df).toLocalIterator()}
+    assert len(found) <= _N * _N
+    return found
 
 
 def forms(df: DataFrame, field: str, id_col: str, counts: dict[int, int], order: Column | None = None, text: bool = True) -> DataFrame:
@@ -195,14 +199,38 @@ def forms(df: DataFrame, field: str, id_col: str, counts: dict[int, int], order:
     return (rows if text else rows.drop("text")).select(F.lit(field).alias("field"), "*")
 
 
-def same_look(rows: DataFrame) -> DataFrame:
+def _records(rows: DataFrame) -> DataFrame:
+    """One row a record with letters, ``field, row_id, form_key, raw_key``, written once: of repeated rows the last by ``o``."""
+    last = F.max_by(F.struct("form_key", "raw_key"), F.coalesce(F.col("o").cast("string"), F.lit("")))
+    return checkpointed(rows.where("has_letters").groupBy("field", "row_id").agg(last.alias("k")).select("field", "row_id", "k.*"))
+
+
+def look_classes(rows: DataFrame) -> DataFrame:
+    """The class of each record: ``field, row_id, class_id, records, forms, links``.
+
+    ``rows`` come from ``forms``. A class holds all records of one look; ``class_id`` is its least ``row_id``, ``records``
+    their number, ``forms`` the number of ways in which they are stored, ``links`` the number of records of the class
+    that are stored otherwise than this one. Texts without letters and digits are in no class. Counts are taken over
+    stored ways first, so no task holds a look's records; the pairs of ``same_look`` follow from the classes.
+    """
+    one = _records(rows)
+    ways = one.groupBy("field", "form_key", "raw_key").agg(F.count("*").alias("same"), F.min("row_id").alias("least"))
+    looks = ways.groupBy("field", "form_key").agg(F.sum("same").alias("records"), F.count("*").alias("forms"), F.min("least").alias("class_id"))
+    counted = ways.drop("least").join(looks, ["field", "form_key"])
+    return salted_join(one, counted, ["field", "form_key", "raw_key"], F.col("row_id"), "inner").select("field", "row_id", "class_id", "records", "forms", (F.col("records") - F.col("same")).alias("links"))
+
+
+def same_look(rows: DataFrame, part: int = 5000) -> DataFrame:
     """Pairs of records whose texts look the same but differ: ``field, a_id, b_id`` with ``a_id < b_id``.
 
-    ``rows`` come from ``forms``. Of rows repeated under one id the last by ``o`` counts. Groups of exact copies alone
-    never meet: only forms that were stored in more than one way are joined with themselves.
+    ``rows`` come from ``forms``. Groups of exact copies alone never meet: only forms that were stored in more than one
+    way are joined with themselves, and a look of many records is joined in parts of ``part`` records.
     """
-    one = rows.where("has_letters").groupBy("field", "row_id").agg(F.max_by(F.struct("form_key", "raw_key"), F.coalesce(F.col("o").cast("string"), F.lit(""))).alias("k")).select("field", "row_id", "k.*")
-    mixed = one.groupBy("field", "form_key").agg(F.min("raw_key").alias("low"), F.max("raw_key").alias("high")).where("low <> high").select("field", "form_key")
-    of = one.join(mixed, ["field", "form_key"])
-    a, b = of.alias("a"), of.alias("b")
-    return a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.raw_key") != F.col("b.raw_key")) & (F.col("a.row_id") < F.col("b.row_id"))).select(F.col("a.field").alias("field"), F.col("a.row_id").alias("a_id"), F.col("b.row_id").alias("b_id"))
+    one = _records(rows)
+    ways = one.groupBy("field", "form_key", "raw_key").agg(F.count("*").alias("n"))
+    mixed = ways.groupBy("field", "form_key").agg(F.sum("n").alias("n"), F.count("*").alias("ways")).where("ways > 1")
+    of = salted_join(one, mixed.select("field", "form_key", F.ceil(F.col("n") / part).cast("int").alias("parts")), ["field", "form_key"], F.col("row_id"), "inner")
+    a = of.withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")).alias("a")
+    b = of.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    on = (F.col("a.field") == F.col("b.field")) & (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.part") == F.col("b.part"))
+    return a.join(b, on & (F.col("a.raw_key") != F.col("b.raw_key")) & (F.col("a.row_id") < F.col("b.row_id"))).select(F.col("a.field").alias("field"), F.col("a.row_id").alias("a_id"), F.col("b.row_id").alias("b_id"))

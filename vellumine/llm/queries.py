@@ -45,6 +45,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.same_look(p4_forms(spark, sf_dir, text=False))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.look_classes(p4_forms(spark, sf_dir, text=False))
+
+
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "chunk_result"), order=F.col("ingested_at"))
 
@@ -93,7 +97,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_units, p4_found, p4_forms, p5_found, p5_records, p5_rates, p6_found, p6_spans, p6_shares, p7_containers, p7_fill, p8_order, p8_shares, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_units, p4_found, p4_forms, p4_classes, p5_found, p5_records, p5_rates, p6_found, p6_spans, p6_shares, p7_containers, p7_fill, p8_order, p8_shares, p9_found, p9_statistics)}
 
 SQL: dict[str, str] = {
     "p1_found": r"""
