@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,18 +35,29 @@ def ship(spark: SparkSession) -> None:
     sc._vellumine_shipped = True
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset and the master is local
-    (tests, bench), a folder under the system's temporary directory is used instead.
+    Where that is unset and the master is local (tests, bench), a folder under the system's temporary directory.
     """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = os.path.join(tempfile.gettempdir(), "vellumine-checkpoints")
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if path is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            path = os.path.join(tempfile.gettempdir(), "vellumine-checkpoints")
-        sc.setCheckpointDir(path)
+        sc.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``checkpointed``, as a compressed Parquet table in the shared folder: for rows that carry texts."""
+    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
