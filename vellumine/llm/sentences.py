@@ -1,7 +1,8 @@
 """Sentence units in any script.
 
-Sentence breaks follow the character properties of Unicode's sentence segmentation: terminators of all scripts (ATerm for
-full stops, STerm for the rest), closing marks that belong to the sentence they follow, and the case of what comes next.
+Sentence breaks follow the Sentence_Break property of Unicode's text segmentation (UAX 29), whose whole table comes from the
+``regex`` package: terminators of all scripts (ATerm for full stops, STerm for the rest), closing marks (Close) that belong
+to the sentence they follow, and the case of what comes next.
 Full stops of abbreviations, initials, ordinals and decimals are suppressed by language-specific lists. Lines that are
 units by themselves (headings, captions, list items, bibliography entries, lines of tables) are taken first.
 """
@@ -9,7 +10,9 @@ units by themselves (headings, captions, list items, bibliography entries, lines
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_batches
@@ -39,11 +42,24 @@ _LINE = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
 _OWN = re.compile(rf"[\s{INVISIBLE}]*(?:[#＃]{{1,6}}|[-*•‣◦▪]\s|[|｜])")
 _FENCE = re.compile(r"\s*(?:```+|~~~+)\s*\w*\s*$")
 _CAPTION = re.compile(r"(?:figures?|fig\.|tables?|abbildung|abb\.|tabelle|figura|tabla|cuadro|tableau|рис\.|рисунок|таблица|图|表|図|चित्र|शکل|جدول|ตาราง|ภาพ)\s*\d+(?:[.\-]\d+)*\s?[:：.]", re.I)
-_ENTRY = re.compile(rf"(?:\[\d+\]\s*)?[^\W\d_][\w'’\-{INVISIBLE}]*,\s*[^\W\d_][{INVISIBLE}]?\.[^\n]{{0,160}}?[(（]\s?[12１２]\d\d\d[a-z]?\s?[)）]", re.S)
-_TERMS = ".!?…。！？｡．؟।॥۔።፧፨။៕᠃᠉‼⁇⁈⁉﹖﹗"
-_END = re.compile(rf"[{re.escape(_TERMS)}]+(?:[{INVISIBLE}]*(?:[\"'”’“»」』）)\]}}］】〉》]|[ \xa0\u2009\u202f]»))*(?:[{INVISIBLE}]+(?=\s|$))?")
-_STRONG = frozenset("。！？｡؟।॥۔።፧፨။។៕‼⁇⁈⁉﹖﹗")
-_OPEN = frozenset("\"'“„‚‘«‹¿¡([{（「『［【〈《«")
+_ENTRY = re.compile(rf"(?:\[\d+\]\s*)?[^\W\d_][\w'’\-{INVISIBLE}]*,\s*[^\W\d_][{INVISIBLE}]?\.[^\n]*?[(（]\s?[12１２]\d\d\d[a-z]?\s?[)）]", re.S)
+_EVERY = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+
+
+def sentence_break(value: str) -> str:
+    """All characters of a value of Unicode's Sentence_Break property."""
+    return "".join(regex.findall(rf"\p{{Sentence_Break={value}}}", _EVERY))
+
+
+STERM, ATERM, _CLOSE = sentence_break("STerm"), sentence_break("ATerm"), sentence_break("Close")
+_TERMS = ATERM + STERM + "…"  # the ellipsis may end a sentence, though the property leaves it out
+_ENDS = frozenset(_TERMS)
+# closing marks; straight and high quotes stand on both sides
+_CLOSING = "\"'”’“»" + "".join(c for c in _CLOSE if unicodedata.category(c) in ("Pe", "Pf"))
+_END = re.compile(rf"[{re.escape(_TERMS)}]+(?:[{INVISIBLE}]*(?:[{re.escape(_CLOSING)}]|[ \xa0\u2009\u202f]»))*(?:[{INVISIBLE}]+(?=\s|$))?")
+_STRONG = frozenset(STERM) - frozenset("!?﹗﹖")
+_OPEN = frozenset("\"'“„‚‘«‹¿¡").union(c for c in _CLOSE if unicodedata.category(c) in ("Ps", "Pi"))
+del _EVERY
 _TOKEN = re.compile(rf"[\w.\-ª̀-ͯؐ-ًؚ-ٟऀ-ॣ{INVISIBLE}]+$")
 _THAI = re.compile(r"[฀-๿]")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
@@ -77,7 +93,7 @@ def _breaks(text: str, m: re.Match, start: int, stop: int, lower_case: bool) ->
     nxt = text[j]
     gap = any(c.isspace() for c in text[i:j])
     first = marks[0]
-    closed = marks[-1] not in _TERMS
+    closed = marks[-1] not in _ENDS
     if not gap:
         prev = text[m.start() - 1] if m.start() > start else ""
         if closed:
@@ -140,9 +156,14 @@ def _capital(text: str, j: int, stop: int) -> bool:
     return text[j].isupper() and (j + 1 >= stop or text[j + 1].islower() or text[j + 1].isspace() or text[j + 1] in ".．" or bool(_INVISIBLE.match(text[j + 1])))
 
 
+def _before(text: str, dot: int, start: int) -> re.Match | None:
+    """The run of letters and signs before a full stop, as far as an abbreviation may reach; longer runs are none."""
+    return _TOKEN.search(text, max(start, dot - 64), dot)
+
+
 def _follows(text: str, dot: int, start: int, lost: bool = False) -> bool:
     """Whether what stands before a full stop may end a sentence at all."""
-    t = _TOKEN.search(text, max(start, dot - 14), dot)
+    t = _before(text, dot, start)
     if not t:
         return True
     token = _abbreviation(t.group())
@@ -154,7 +175,7 @@ def _follows(text: str, dot: int, start: int, lost: bool = False) -> bool:
 
 
 def _full_stop(text: str, dot: int, start: int, j: int, stop: int, case: str, lower_case: bool) -> bool:
-    t = _TOKEN.search(text, max(start, dot - 14), dot)
+    t = _before(text, dot, start)
     nxt = text[j]
     year = case == "digit" or (case == "open" and nxt in "(（[" and j + 1 < stop and text[j + 1].isdigit())
     if not t:  # a bracket, a quote or a sign stands before
