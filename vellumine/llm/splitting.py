@@ -8,6 +8,7 @@ Pieces are consecutive stretches of the text: joined, they give the text back.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, functions as F
@@ -19,6 +20,7 @@ _SPACE = "[" + re.escape(WHITE_SPACE) + "]"
 _WORD = re.compile("[^" + re.escape(WHITE_SPACE) + "]+")
 _RUN = re.compile(_SPACE + "+")
 _SENTENCE_END = re.compile(r"[.!?…。！？।؟]['\")\]»”’」』）]*$")
+_JOINERS = "\u200c\u200d\u2060"
 #: Marks of scripts that put no space behind them: ends of sentences, and of clauses.
 _TIGHT = ((re.compile(r"[。！？।؟][」』”）]*"), 3), (re.compile(r"[，；：、؛،]"), 4))
 
@@ -84,6 +86,8 @@ def split_points(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHA
                 cut = places[min(range(k, m), key=lambda j: (ranks[j], abs(places[j] - target)))]
             else:
                 cut = max(low, min(target, high))
+                while cut > low and unicodedata.category(text[cut])[0] == "M" or cut > low and text[cut] in _JOINERS:
+                    cut -= 1  # marks stay with their letter
             ends.append(cut)
             at = cut
         else:
@@ -136,15 +140,15 @@ def split_chunks(chunks: DataFrame, max_words: int = MAX_WORDS, max_chars: int =
 
     Columns: ``chunk_uid, doc_id, chunk_id, piece`` (0-based), ``pieces``, ``start_pos``, ``end_pos``, ``text``,
     ``word_count``, ``prev_context_tail`` (the first piece keeps the chunk's own), ``para_indices``.
-    Null texts and texts within the limits give no rows. Rows repeated under one ``chunk_uid`` give one set of pieces.
-    A text without any boundary is cut by length. Null ``para_indices`` stay null; other columns are ignored.
+    Null texts and texts within the limits give no rows. Rows repeated under one ``chunk_uid`` give one set of pieces,
+    rows without one are split each. A text without any boundary is cut by length, before no combining mark if it can be. Null ``para_indices`` stay null; other columns are ignored.
     """
     # only texts that may be over a limit reach Python; 400 words need 799 characters
     over = (F.char_length("text") > max_chars) | ((F.char_length("text") >= 2 * max_words) & (F.regexp_count("text", F.lit("[^\\p{IsWhite_Space}]+")) > max_words))
     columns = set(chunks.columns)
     have = lambda name, kind: F.col(name) if name in columns else F.lit(None).cast(kind)
     kept = chunks.where(over).select("chunk_uid", have("doc_id", "bigint").alias("doc_id"), have("chunk_id", "int").alias("chunk_id"), "text", have("prev_context_tail", "string").alias("tail"), have("para_indices", "array<int>").alias("para_indices"), (F.col("elements.para_idx") if "elements" in columns else F.lit(None)).cast("array<int>").alias("elements"))
-    kept = kept.dropDuplicates(["chunk_uid"])
+    kept = kept.withColumn("row", F.when(F.col("chunk_uid").isNull(), F.monotonically_increasing_id())).dropDuplicates(["chunk_uid", "row"]).drop("row")
 
     def make():
         def split(uids, docs, ids, texts, tails, indices, elements):
