@@ -1,27 +1,31 @@
-"""Long exact spans that stand in more than one record.
-
-Winnowing and window hashing, in place of a relative Lempel-Ziv parse: no reference block is indexed and no text is
-factored. Winnowing picks anchors (k-grams whose hash is the least of a window), so that every span of the given length
-holds one, and copies meet by the anchor's hash. There, the windows of the given length around the anchor are compared:
-pair by pair where contexts are few, by a table of windows where they are more, and by grouped digests of windows where
-they are very many. Only anchors seen in more than one record are looked at.
+"""Long exact spans that stand in more than one record, by relative Lempel-Ziv parsing.
+
+Winnowing picks anchors (k-grams whose hash is the least of a window), so that every span of the given length holds one.
+The text around each anchor that stands in more than one record goes to a reference block, which is chosen by the
+anchor's hash: so two records that share a span meet in a block, and copies are stored there once. A block is indexed
+by the hashes of all its grams of the given length. Each document segment is factored greedily against it: at the first
+place with a reference in another record the longest match is taken as a factor, and the parse goes on behind it. Each
+factor's end is checked: places before it from which another reference reaches beyond the end begin a factor as well.
+Hashes choose, texts decide. An anchor with very many different surroundings is spread over the cluster by windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window
 
 from ..operators.scale import salted_join
-from ..session import checkpointed
+from ..session import written
 from .common import map_batches
 
 MIN_LENGTH = 200
 HOT = 2000  # contexts of one anchor that a task handles; beyond it, windows are spread over the cluster
+BLOCK = 10_000  # segments in a reference block, about
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 1 << 19
 
@@ -120,56 +124,79 @@ def _segments(df: DataFrame, wanted: DataFrame, fields: list[str], min_length: i
     return map_batches(joined, make, "h bigint, ctx binary, id bigint, f tinyint, pos int, l string, c string, r string")
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the common beginning."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    low, high = 0, n
-    while low < high - 1:
-        mid = (low + high) // 2
-        if a[:mid] == b[:mid]:
-            low = mid
-        else:
-            high = mid
-    return low
-
-
-def factor_block(block: list[tuple[str, str, str, int, int]], reach: int) -> list[list[tuple[int, int]]]:
-    """For each context of one anchor (left, core, right, least and greatest record), what of it other records share.
-
-    A window begins ``j`` before the anchor and is as long as asked; the result has ranges of such j, ends included.
-    """
-    out: list[list[tuple[int, int]]] = []
-    few = len(block) <= 8
-    keys: dict[tuple[int, str], tuple[int, int]] = {}
-    if not few:
-        for left, core, right, low, high in block:
-            for j in range(max(0, reach - len(right)), min(reach, len(left)) + 1):
-                key = (j, left[len(left) - j :] + core + right[: reach - j])
-                was = keys.get(key)
-                keys[key] = (low, high) if was is None else (min(was[0], low), max(was[1], high))
-    for x, (left, core, right, low, high) in enumerate(block):
-        least, most = max(0, reach - len(right)), min(reach, len(left))
-        if low != high:
-            out.append([(least, most)] if least <= most else [])
-            continue
-        found: list[tuple[int, int]] = []
-        if few:
-            back = left[::-1]
-            for y, (left2, core2, right2, low2, high2) in enumerate(block):
-                if x == y or core != core2 or (low2 == low and high2 == low):
-                    continue
-                a, b = _common(back, left2[::-1]), _common(right, right2)
-                if a + b >= reach:
-                    found.append((max(0, reach - b), min(reach, a)))
-        else:
-            for j in range(least, most + 1):
-                m = keys[j, left[len(left) - j :] + core + right[: reach - j]]
-                if m[0] != m[1]:
-                    found.append((j, j))
-        out.append(found)
-    return out
+class Block:
+    """A reference block: segments of text with the least and greatest record that holds each, and the index of its grams."""
+
+    def __init__(self, segments: list[str], low: np.ndarray, high: np.ndarray, length: int):
+        self.length, self.low, self.high = length, low, high
+        sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
+        self.codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.owner = np.repeat(np.arange(len(segments)), sizes)
+        at = np.arange(max(0, len(self.codes) - length + 1))
+        self.places = at[at + length <= self.ends[self.owner[: len(at)]]]  # grams that lie within one segment
+        with np.errstate(over="ignore"):
+            up, down = _Powers.of(len(self.codes) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(self.codes.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+            h = (sums[self.places + length] - sums[self.places]) * down[self.places]
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0] if len(h) else np.zeros(0, np.int64)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        who = self.owner[self.places[order]]
+        # of each gram: the least and the greatest record, and a place in each
+        self.ranked = self.places[order]
+        self.first, self.size = first, np.diff(np.append(first, len(h)))
+        least = np.lexsort((low[who], group)) if len(h) else first
+        most = np.lexsort((-high[who], group)) if len(h) else first
+        self.least, self.most = self.ranked[least[first]], self.ranked[most[first]]
+        self.of = np.full(len(self.codes), -1, dtype=np.int64)
+        self.of[self.ranked] = group
+        shared = low[self.owner[self.least]] != high[self.owner[self.most]] if len(h) else np.zeros(0, bool)
+        self.found = np.zeros(len(self.codes), dtype=bool)
+        self.found[self.ranked] = shared[group] if len(h) else False
+
+    def _match(self, p: int, r: int) -> int:
+        """Length of what stands both at p and at r, within their segments."""
+        n = min(self.ends[self.owner[p]] - p, self.ends[self.owner[r]] - r)
+        differ = np.nonzero(self.codes[p : p + n] != self.codes[r : r + n])[0]
+        return int(differ[0]) if len(differ) else int(n)
+
+    def _longest(self, p: int) -> int:
+        """The longest match at p in another record, of those that its gram's entry names; 0 if it is shorter than asked."""
+        x, g = self.owner[p], self.of[p]
+        best = 0
+        for r, record in ((self.least[g], self.low[self.owner[self.least[g]]]), (self.most[g], self.high[self.owner[self.most[g]]])):
+            if record != self.low[x]:
+                best = max(best, self._match(p, r))
+        if best < self.length:  # grams of one hash that differ: ask all of them
+            for r in self.ranked[self.first[g] : self.first[g] + self.size[g]]:
+                if self.low[self.owner[r]] != self.low[x] or self.high[self.owner[r]] != self.low[x]:
+                    best = max(best, self._match(p, r))
+        return best if best >= self.length else 0
+
+    def factors(self, x: int) -> list[tuple[int, int]]:
+        """Factors of segment x that reach the length, as begin and end in it; those met at others' ends overlap them."""
+        a, b = int(self.starts[x]), int(self.ends[x])
+        if b - a < self.length:
+            return []
+        if self.low[x] != self.high[x]:
+            return [(0, b - a)]  # the whole segment stands in several records
+        out = []
+        places = (np.nonzero(self.found[a:b])[0] + a).tolist()
+        p, i = a, 0
+        while True:
+            i = bisect_left(places, p, i)
+            if i == len(places):
+                return out
+            p = places[i]
+            n = self._longest(p)
+            if n:
+                out.append((p - a, p - a + n))
+                p += n - self.length + 1  # the first place whose gram reaches beyond the factor's end
+            else:
+                p += 1
 
 
 def shared_spans(df: DataFrame, fields: list[str], id_col: str = "result_id", min_length: int = MIN_LENGTH) -> DataFrame:
@@ -177,44 +204,45 @@ def shared_spans(df: DataFrame, fields: list[str], id_col: str = "result_id", mi
 
     Columns: ``field``, ``row_id``, ``start_pos``, ``end_pos``: of each text the longest stretches of which every window
     of ``min_length`` is shared. A record is an id: what its own fields, or rows repeated under it, share does not count.
-    Null and shorter texts have no spans; an empty table gives none. Other columns are ignored.
+    Rows without an id are no records. Null and shorter texts have no spans; an empty table gives none. Other columns
+    are ignored.
     """
     k = min_length // 2
     reach = min_length - k
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), *(F.col(f).alias(f"t{i}") for i, f in enumerate(fields)))
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), *(F.col(f).alias(f"t{i}") for i, f in enumerate(fields))).where("id is not null")
     names = [f"t{i}" for i in range(len(fields))]
-    seen = checkpointed(_anchor_rows(texts, names, min_length))
+    seen = written(_anchor_rows(texts, names, min_length))
     shared = seen.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("h")
     wanted = salted_join(seen, shared, ["h"], F.col("id"), "inner").groupBy("id").agg(F.collect_set(F.struct("h", "id", "f", "pos")).alias("want"))  # as many as the record's own texts have
-    held = checkpointed(_segments(texts, wanted, names, min_length))
+    held = written(_segments(texts, wanted, names, min_length))
 
     contexts = held.groupBy("h", "ctx").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.any_value("l").alias("l"), F.any_value("c").alias("c"), F.any_value("r").alias("r"))
-    counted = checkpointed(contexts)
-    sizes = counted.groupBy("h").agg(F.count("*").alias("n"))
-    blocks = max(1, -(-counted.count() // 20_000))
-    sized = counted.join(sizes, "h")
+    counted = written(contexts)
+    blocks = max(1, -(-counted.count() // BLOCK))
+    hot = counted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h")
 
     def factor(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for h, g in pdf.groupby("h", sort=False):
-            found = factor_block(list(zip(g["l"], g["c"], g["r"], g["low"], g["high"])), reach)
-            rows += [(h, ctx, a, b) for ctx, ranges in zip(g["ctx"], found) for a, b in ranges]
+        lefts, cores = pdf["l"].tolist(), pdf["c"].tolist()
+        block = Block([a + b + c for a, b, c in zip(lefts, cores, pdf["r"].tolist())], pdf["low"].to_numpy(), pdf["high"].to_numpy(), min_length)
+        # a window of the length asked for begins j before the anchor
+        rows = [(h, ctx, len(left) - (e - min_length), len(left) - s) for x, (h, ctx, left) in enumerate(zip(pdf["h"].tolist(), pdf["ctx"].tolist(), lefts)) for s, e in block.factors(x)]
         return pd.DataFrame(rows, columns=["h", "ctx", "a", "b"])
 
-    usual = sized.where(F.col("n") <= HOT).withColumn("block", F.pmod("h", F.lit(blocks))).drop("n").groupBy("block").applyInPandas(factor, "h bigint, ctx binary, a int, b int")
-    spread = sized.where(F.col("n") > HOT).select("h", "ctx", "low", "high", "l", "c", "r", F.explode(F.sequence(F.greatest(F.lit(0), reach - F.length("r")), F.least(F.lit(reach), F.length("l")))).alias("j")).where(F.col("j").between(F.greatest(F.lit(0), reach - F.length("r")), F.least(F.lit(reach), F.length("l"))))
+    usual = counted.join(hot, "h", "left_anti").withColumn("block", F.pmod("h", F.lit(blocks))).groupBy("block").applyInPandas(factor, "h bigint, ctx binary, a int, b int")
+    spread = counted.join(hot, "h", "left_semi").select("h", "ctx", "low", "high", "l", "c", "r", F.explode(F.sequence(F.greatest(F.lit(0), reach - F.length("r")), F.least(F.lit(reach), F.length("l")))).alias("j")).where(F.col("j").between(F.greatest(F.lit(0), reach - F.length("r")), F.least(F.lit(reach), F.length("l"))))
     window = F.md5(F.concat(F.expr("right(l, j)"), F.col("c"), F.expr(f"left(r, {reach} - j)")))
     spread = spread.select("h", "ctx", "j", "low", "high", window.alias("m"))
     meets = spread.groupBy("h", "j", "m").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("h", "j", "m")
-    hot = spread.join(meets, ["h", "j", "m"]).select("h", "ctx", F.col("j").alias("a"), F.col("j").alias("b"))
-    factors = usual.unionByName(hot)
-
-    spans = held.select("h", "ctx", "id", "f", "pos").join(factors, ["h", "ctx"]).select("id", "f", (F.col("pos") - F.col("b")).alias("s"), (F.col("pos") - F.col("a") + min_length).alias("e"))
-    runs = spans.groupBy("id", "f").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("p"))
-    step = "CASE WHEN size(acc) > 0 AND x.s <= element_at(acc, -1).e - {m} + 1 THEN concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).s AS s, greatest(element_at(acc, -1).e, x.e) AS e))) ELSE concat(acc, array(x)) END".format(m=min_length)
-    merged = runs.select("id", "f", F.explode(F.expr(f"aggregate(p, cast(array() AS array<struct<s:int,e:int>>), (acc, x) -> {step})")).alias("q"))
+    factors = usual.unionByName(spread.join(meets, ["h", "j", "m"]).select("h", "ctx", F.col("j").alias("a"), F.col("j").alias("b")))
+
+    spans = held.select("h", "ctx", "id", "f", "pos").join(factors, ["h", "ctx"]).select("id", "f", (F.col("pos") - F.col("b")).alias("s"), (F.col("pos") - F.col("a") + min_length).alias("e")).distinct()
+    # spans whose windows follow each other are one; a text has as many as it is long at most
+    text = Window.partitionBy("id", "f").orderBy("s", "e")
+    reached = F.max("e").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    apart = spans.withColumn("new", F.when(F.col("s") <= reached - min_length + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = apart.groupBy("id", "f", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     name = reduce(lambda c, i: c.when(F.col("f") == i, fields[i]), range(1, len(fields)), F.when(F.col("f") == 0, fields[0]))
-    return merged.select(name.alias("field"), F.col("id").alias("row_id"), F.col("q.s").alias("start_pos"), F.col("q.e").alias("end_pos"))
+    return merged.select(name.alias("field"), F.col("id").alias("row_id"), F.col("s").alias("start_pos"), F.col("e").alias("end_pos"))
 
 
 def shared_report(df: DataFrame, spans: DataFrame, fields: list[str], id_col: str = "result_id") -> DataFrame:
