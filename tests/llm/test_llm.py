@@ -50,6 +50,13 @@ def test_split_chunks(spark):
     assert one[1].prev_context_tail and one[0].text.rstrip().endswith(one[1].prev_context_tail)
     assert {r.chunk_uid for r in out} == {1, 3, 5} and [len(r.text) for r in out if r.chunk_uid == 3] == [2333, 2333, 2334]
     assert C.split_chunks(spark.createDataFrame([], CHUNK)).count() == 0
+    null = [(None, 1, 0, "a" * 4000, None, None, None, 0, "x"), (None, 2, 0, "b" * 4000, None, None, None, 0, "x")]
+    assert {r.text[0] for r in C.split_chunks(spark.createDataFrame(null, CHUNK)).collect()} == {"a", "b"}
+
+
+def test_cuts_keep_marks_with_their_letter():
+    text = "e\u0301" * 3000
+    assert all(e % 2 == 0 for e in C.split_points(text, 400, 1001))
 
 
 # ---- 3 sentences
@@ -70,6 +77,14 @@ def test_split_chunks(spark):
         ("Figure 2: A. caption. Here", ["Figure 2: A. caption. Here"]),
         ("Teluk, E., & Strandolf, E. (2013). Flux: a study. Notes, 2(3), 1–4.", ["Teluk, E., & Strandolf, E. (2013). Flux: a study. Notes, 2(3), 1–4."]),
         ("... — \n\n--", []),
+        ("Սա ջուր է։ Այն մաքուր է։ Վերջ։", ["Սա ջուր է։", "Այն մաքուր է։", "Վերջ։"]),
+        ("នេះជាទឹក។ វាស្អាត។", ["នេះជាទឹក។", "វាស្អាត។"]),
+        ("ܗܢܐ ܡܝܐ܂ ܕܟܝܐ ܗܘ܂", ["ܗܢܐ ܡܝܐ܂", "ܕܟܝܐ ܗܘ܂"]),
+        ("ᱱᱚᱣᱟ ᱫᱟᱜ ᱾ ᱥᱟᱯᱷᱟ ᱾", ["ᱱᱚᱣᱟ ᱫᱟᱜ ᱾", "ᱥᱟᱯᱷᱟ ᱾"]),
+        ("ꦲꦶꦏꦶꦧꦚꦸ꧉ ꦉꦱꦶꦏ꧉", ["ꦲꦶꦏꦶꦧꦚꦸ꧉", "ꦉꦱꦶꦏ꧉"]),
+        ("ဒါကရေ။ သန့်ရှင်းတယ်။", ["ဒါကရေ။", "သန့်ရှင်းတယ်။"]),
+        ("ይህ ውሃ ነው። ንጹህ ነው።", ["ይህ ውሃ ነው።", "ንጹህ ነው።"]),
+        ("Lange, A. " + "and many, many others who worked on it " * 6 + "(2013). Flux: a study. Notes.", ["Lange, A. " + "and many, many others who worked on it " * 6 + "(2013). Flux: a study. Notes."]),
     ],
 )
 def test_sentence_units(text, units):
@@ -205,13 +220,18 @@ def test_two_limits_of_a_source(spark):
     assert out == {500: "limit", 600: None, 700: "limit"}
 
 
-def test_trie_against_brute_force():
+def test_trie_against_brute_force(spark):
     rng = random.Random(1)
-    words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(80)}
-    trie = U.Trie(words)
-    for _ in range(500):
-        t = "".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))
-        assert trie.look(t) == (t in words, any(w != t and w.startswith(t) for w in words))
+    word = lambda n: "".join(rng.choice("abc") for _ in range(rng.randint(1, n)))
+    words = {word(6): rng.randint(1, 9) for _ in range(80)} | {"水" * 90 + "火": 3}
+    tokens = {word(7) for _ in range(300)} | {"水" * 90, "水" * 91}
+    nodes = U.trie_nodes(spark.createDataFrame(list(words.items()), "token string, c bigint"), spark.createDataFrame([(t,) for t in tokens], "token string"))
+    want = {t: (words.get(t, 0), sum(c for w, c in words.items() if w.startswith(t))) for t in tokens}
+    assert {r.token: (r.own, r.through) for r in nodes.collect()} == {t: w for t, w in want.items() if w[1]}
+
+
+def test_final_tokens():
+    assert [U.final_token(t) for t in ("It en", "It ended.", "a 12", "x7a", "caf\u00e9", "", "...", "の" + "水" * 500, "ab" * 3000)] == ["en", "ended", "0", "0", "cafe\u0301", "", "", "の" + "水" * 500, "ab" * 3000]
 
 
 # ---- 6 shared spans

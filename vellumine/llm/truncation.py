@@ -1,20 +1,20 @@
 """Texts cut off by field limits or in transfer.
 
-One pass reads each text's last unit: running text must end in a closing mark, other units (list items, captions, cells,
-headings, Thai sentences) need not. What the marks leave open is settled by the corpus: a trie of its vocabulary finds
-final tokens that are unknown proper prefixes of known words, final words of list items and the like are compared with
-those that end such units within texts, and lengths at which a source's open texts pile up are its field limits. A strange
-final word is let pass where many different texts end in the same two units, as those of one template do.
+A trie of the corpus vocabulary is asked about the final token of every text that is not closed: an unknown proper prefix
+of known words is a fragment. Length evidence stands beside it: lengths at which a source's unclosed texts pile up are its
+field limits. How the text ends is the third evidence: running text must end in a closing mark, other units (list items,
+captions, cells, headings, Thai sentences) need not, and their final words are compared with those that end such units
+within texts. A strange final word is let pass where many different texts end in the same two units, as those of one
+template do. ``why`` names the first evidence of a cut in this order.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
-from itertools import repeat
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..operators.scale import salted_join
@@ -23,17 +23,24 @@ from .common import WHITE_SPACE, map_batches
 from .lookalikes import plain
 from .sentences import _CAPTION, _ENTRY, _INVISIBLE as _IGNORED, MAYBE, NEVER, sentence_units
 
-#: Words that stand for a missing text (fixed values).
-STAND_INS = frozenset(("n/a", "na", "none", "null", "nil", "nan", "undefined", "empty", "<empty>", "(empty)", "[empty]", "no output", "[no output]", "(no output)", "(no text returned)", "no text returned", "[no text returned]", "(none)", "<none>", "<null>", "(null)", "-", "tbd", "todo", "[blank]", "(blank)", "<blank>", "missing", "(missing)", "[missing]", "no text", "(no text)", "[no text]", "no response", "[no response]", "(no response)", "no content", "[no content]", "<no content>", "(no content)", "no answer", "(no answer)"))
+#: A stand-in for a missing text: a word for nothing, or "no" and a word for what is missing, in brackets or not.
+STAND_IN = re.compile(
+    r"[\[(<{]?\s*(?:n/?a|none|null|nil|nan|undefined|unknown|empty|blank|missing|void|tbd|todo|-+"
+    r"|(?:no|empty|missing|blank)\s+(?:text|output|response|content|answer|result|reply|data|value|body)(?:\s+(?:was\s+)?(?:returned|available|provided|given|generated|found|here|yet))?"
+    r"|(?:text|output|response|content|answer|result|reply|data|value|body)\s+(?:missing|empty|unavailable|not\s+(?:available|found|provided)))\s*[.!]?\s*[\])>}]?",
+    re.I,
+)
 _ALNUM = re.compile(r"[^\W_]")
-_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏัิ-ฺ็-๎]){0,63}")
+_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏัิ-ฺ็-๎])*")
 # words of the vocabulary: no letters joined to digits, as in hex strings
-_KNOWN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏัิ-ฺ็-๎]){0,63}+(?!(?<=[a-z])[0-9])")
+_KNOWN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏัิ-ฺ็-๎])*+(?!(?<=[a-z])[0-9])")
 _JOINED = re.compile(r"[0-9]+[a-z][0-9a-z]*")
 #: What a record weighs in counts; its deliveries share it. Divisible by 1 to 16.
 RECORD = 720_720
 #: Up to so many repeated ids are broadcast.
 REPEATS = 1_000_000
+#: The share of a word's occurrences in which it ends units of a kind, if it is a usual end of them.
+END_SHARE = 0.002
 _STRIP = WHITE_SPACE + "".join(chr(c) for c in range(0x110000) if _IGNORED.match(chr(c)))
 _CLOSED = re.compile(r"[.!?。！？｡．؟।॥]+[\"'”’“»」』）)\]}\s`*_]*$")
 _TRACE = re.compile(r"(?:…|\.\.\.|�|\[|\(|<|\[(?:…|\.\.\.|truncated|cut)\]?)$", re.I)
@@ -59,19 +66,29 @@ def _kind(text: str, a: int, b: int) -> str:
     return "text"
 
 
+_PART = re.compile(r"[^\W\d_]|[̀-ͯऀ-ःऺ-ॏัิ-ฺ็-๎]")
+_BLANKS = _STRIP + "\"'”’“»」』）)]}`*_.|"
+
+
 def final_token(text: str) -> str:
-    """The last run of letters, in lower case; "0" where a digit or letters joined to one end the text, "" where none does."""
-    tail = plain(text[-80:]).rstrip(_STRIP + "\"'”’“»」』）)]}`*_.|")
-    if not tail:
-        return ""
-    if tail[-1].isdigit():
+    """The last run of letters, in lower case; "0" where a digit or letters joined to one end the text, "" where none does.
+
+    The run is read whole, however long: as long as it may begin before the stretch looked at, a longer one is taken.
+    """
+    width = 80
+    while True:
+        tail = plain(text[-width:]).rstrip(_BLANKS)
+        at = len(tail)
+        while at and _PART.match(tail, at - 1):
+            at -= 1
+        if at or width >= len(text):
+            break
+        width *= 4
+    if tail[-1:].isdigit():
         return "0"
-    last = ""
-    for m in _WORD.finditer(tail):
-        if m.end() == len(tail):
-            last = m.group().lower()
-            if last.isascii() and m.start() and tail[m.start() - 1] in "0123456789":
-                last = "0"
+    last = tail[at:].lower().lstrip("".join(c for c in set(tail[at:]) if unicodedata.category(c)[0] == "M"))
+    if last.isascii() and at and tail[at - 1] in "0123456789":
+        return "0" if last else ""
     return last
 
 
@@ -81,7 +98,7 @@ def read_end(text: str, units: list[tuple[int, int]]) -> tuple[str, str, str]:
     States: ``cut`` and ``whole`` are sure; ``open`` needs the corpus, ``limit`` only counts at a field limit.
     """
     t = text.rstrip(_STRIP)
-    if not units or t.lower() in STAND_INS:
+    if not units or STAND_IN.fullmatch(t):
         return "whole", "none", ""
     a, b = units[-1]
     rest = text[b:].strip(_STRIP)
@@ -191,55 +208,24 @@ def _signs(df: DataFrame, field: str, id_col: str, source: str, order: Column) -
     return map_batches(kept, make, "what string, row_id bigint, o timestamp, source string, state string, kind string, token string, n bigint, n_bytes bigint, line binary, lead binary")
 
 
-class Trie:
-    """Words by letters; a node is a dict, the empty key holds the count of the word that ends there, None that of all through it."""
-
-    def __init__(self, words, counts=None):
-        self.root: dict = {}
-        for w, n in zip(words, repeat(1) if counts is None else counts):
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-                node[None] = node.get(None, 0) + n
-            node[""] = node.get("", 0) + n
-
-    def look(self, token: str) -> tuple[bool, bool]:
-        """Whether the token is a word, and whether it is a proper prefix of one."""
-        node = self.root
-        for c in token:
-            if c not in node:
-                return False, False
-            node = node[c]
-        return "" in node, any(k for k in node)
-
-    def usual(self, token: str, share: float) -> bool:
-        """Whether the token is a word, with a count of ``share`` at least of those of the words that go on from it."""
-        node = self.root
-        for c in token:
-            if c not in node:
-                return False
-            node = node[c]
-        own = node.get("", 0)
-        return own > 0 and own >= share * (node.get(None, 0) - own)
+def trie_nodes(words: DataFrame, finals: DataFrame) -> DataFrame:
+    """The nodes of the vocabulary's trie that some final token reaches: ``token, own, through``.
+
+    ``words`` are ``token, c``. The trie is a table with a row a node: the letters that lead to it, the count of the word
+    that ends there, and that of all words through it. So it is built by one grouped sum and grows with the cluster.
+    """
+    node = words.select("token", "c", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("n"))
+    node = node.select(F.substring("token", F.lit(1), F.col("n")).alias("token"), F.when(F.col("n") == F.length("token"), F.col("c")).otherwise(0).alias("own"), "c")
+    return node.join(finals, "token", "left_semi").groupBy("token").agg(F.sum("own").alias("own"), F.sum("c").alias("through"))
 
 
 def _lookup(finals: DataFrame, words: DataFrame, share: float = 0.005) -> DataFrame:
-    """``token, known, prefix`` for each final token, by a trie for each first pair of letters.
+    """``token, known, prefix`` for each final token that is in the trie, as a word or as a part of one.
 
-    ``words`` are ``token, c``. A token is known if it is as frequent as ``share`` of the words that go on from it.
+    A token is a known word if it is as frequent as ``share`` of the words that go on from it; a prefix if any do.
     """
-
-    def look(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty:
-            return pd.DataFrame({"token": [], "known": [], "prefix": []}).astype({"token": "str", "known": "bool", "prefix": "bool"})
-        trie = Trie(b["token"], b["c"].tolist())
-        return pd.DataFrame({"token": a["token"], "known": [trie.usual(t, share) for t in a["token"]], "prefix": [trie.look(t)[1] for t in a["token"]]})
-
-    # a one-letter token may go on with any second letter, so it is looked up by its first letter alone
-    a2, a1 = finals.where("length(token) > 1"), finals.where("length(token) = 1")
-    two = a2.withColumn("h", F.substring("token", 1, 2)).groupBy("h").cogroup(words.where("length(token) > 1").withColumn("h", F.substring("token", 1, 2)).groupBy("h")).applyInPandas(look, "token string, known boolean, prefix boolean")
-    heads = words.groupBy(F.substring("token", 1, 1).alias("token")).agg((F.sum(F.when(F.length("token") == 1, F.col("c")).otherwise(0)) >= F.greatest(F.lit(1.0), share * F.sum(F.when(F.length("token") > 1, F.col("c")).otherwise(0)))).alias("known"), F.max(F.length("token") > 1).alias("prefix"))
-    return two.unionByName(a1.join(heads, "token", "left").select("token", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("prefix", F.lit(False)).alias("prefix")))
+    more = F.col("through") - F.col("own")
+    return trie_nodes(words, finals).select("token", ((F.col("own") > 0) & (F.col("own") >= share * more)).alias("known"), (more > 0).alias("prefix"))
 
 
 def _limits(records: DataFrame, width: int = 12, least: int = 5, share: float = 0.3) -> DataFrame:
@@ -283,23 +269,25 @@ def truncated(df: DataFrame, field: str = "humanized_text", id_col: str = "resul
     signs = checkpointed(_signs(df, field, id_col, source, F.lit(None) if order is None else order))
     records = signs.where("what = 'r'").groupBy("row_id").agg(F.max_by(F.struct("source", "state", "kind", "token", "n", "n_bytes", "line", "lead"), F.coalesce("o", F.timestamp_seconds(F.lit(0)))).alias("x")).select("row_id", "x.*")
     limits = _limits(records).groupBy("source").agg(F.collect_list(F.struct("measure", "low", "high")).alias("limits"))
-    left = records.where("state in ('open', 'limit')")
-    words = signs.where("what = 'v'").groupBy("token").agg(F.sum("n").alias("c")).where(F.col("c") >= 2 * RECORD)
-    finals = left.where("state = 'open' and token not in ('', '0')").select("token").distinct()
+    left = records.where("state <> 'whole'")
+    words = signs.where("what = 'v'").groupBy("token").agg(F.sum("n").alias("c"))
+    finals = left.where("state <> 'limit' and token not in ('', '0')").select("token").distinct()
     looked = _lookup(finals, words)
-    ends = signs.where("what = 'e'").groupBy("kind", "token").agg(F.sum("n").alias("c")).where(F.col("c") >= 2 * RECORD).select("kind", "token", F.lit(True).alias("ends"))
+    # a token ends units of a kind if it does so in a share of its occurrences
+    ends = signs.where("what = 'e'").groupBy("kind", "token").agg(F.sum("n").alias("e")).join(words, "token", "left").where(F.col("e") >= END_SHARE * F.coalesce("c", F.lit(0))).select("kind", "token", F.lit(True).alias("ends"))
     lines = _usual(records)
     # many texts end alike, and sources are few: the joins are salted on the records' side
     judged = left
     for right, keys in ((looked, ["token"]), (ends, ["kind", "token"]), (lines, ["line"]), (limits, ["source"])):
         judged = salted_join(judged, right, keys, F.col("row_id"))
     at_limit = F.coalesce(F.expr("exists(limits, x -> CASE WHEN x.measure = 'bytes' THEN n_bytes ELSE n END BETWEEN x.low AND x.high)"), F.lit(False))
-    fragment = F.coalesce(~F.col("known") & F.col("prefix"), F.lit(False))
+    fragment = F.coalesce(~F.col("known") & F.col("prefix"), F.lit(False)) & (F.col("state") != "limit") & (F.col("kind") != "table")
     strange = (F.col("kind").isin("list", "caption", "thai")) & (F.col("token") != "0") & F.col("ends").isNull()
-    why = F.when(F.col("state") == "limit", F.when(at_limit, "limit")).when(F.col("kind") == "table", "row").when(fragment, "fragment").when(strange & F.col("usual").isNull(), "ending").when(at_limit & (F.col("ends").isNull() | (F.col("token") == "0")), "limit")
+    unclosed = F.col("state") == "cut"
+    why = F.when(fragment, "fragment").when(at_limit & (unclosed | (F.col("state") == "limit") | F.col("ends").isNull() | (F.col("token") == "0")), "limit").when(unclosed, "open end")
+    why = why.when((F.col("state") == "open") & (F.col("kind") == "table"), "row").when((F.col("state") == "open") & strange & F.col("usual").isNull(), "ending")
     settled = judged.select("row_id", "source", why.isNotNull().alias("cut"), why.alias("why"))
-    sure = records.where("state in ('cut', 'whole')").select("row_id", "source", (F.col("state") == "cut").alias("cut"), F.when(F.col("state") == "cut", "open end").alias("why"))
-    return sure.unionByName(settled)
+    return records.where("state = 'whole'").select("row_id", "source", F.lit(False).alias("cut"), F.lit(None).cast("string").alias("why")).unionByName(settled)
 
 
 def truncation_rates(found: DataFrame) -> DataFrame:
