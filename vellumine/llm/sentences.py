@@ -43,7 +43,7 @@ _OWN = re.compile(rf"[\s{INVISIBLE}]*(?:[#＃]{{1,6}}|[-*•‣◦▪]\s|[|｜])
 _FENCE = re.compile(r"\s*(?:```+|~~~+)\s*\w*\s*$")
 _CAPTION = re.compile(r"(?:figures?|fig\.|tables?|abbildung|abb\.|tabelle|figura|tabla|cuadro|tableau|рис\.|рисунок|таблица|图|表|図|चित्र|शکل|جدول|ตาราง|ภาพ)\s*\d+(?:[.\-]\d+)*\s?[:：.]", re.I)
 _ENTRY = re.compile(rf"(?:\[\d+\]\s*)?[^\W\d_][\w'’\-{INVISIBLE}]*,\s*[^\W\d_][{INVISIBLE}]?\.[^\n]*?[(（]\s?[12１２]\d\d\d[a-z]?\s?[)）]", re.S)
-_EVERY = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+_EVERY = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x20000))))  # no mark of either kind lies beyond
 
 
 def sentence_break(value: str) -> str:
@@ -60,7 +60,7 @@ _END = re.compile(rf"[{re.escape(_TERMS)}]+(?:[{INVISIBLE}]*(?:[{re.escape(_CLOS
 _STRONG = frozenset(STERM) - frozenset("!?﹗﹖")
 _OPEN = frozenset("\"'“„‚‘«‹¿¡").union(c for c in _CLOSE if unicodedata.category(c) in ("Ps", "Pi"))
 del _EVERY
-_TOKEN = re.compile(rf"[\w.\-ª̀-ͯؐ-ًؚ-ٟऀ-ॣ{INVISIBLE}]+$")
+_TOKEN = re.compile(rf"[\w.\-ª̀-ͯؐ-ًؚ-ٟऀ-ॣ{INVISIBLE}]")
 _THAI = re.compile(r"[฀-๿]")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
 _COMPOUND = re.compile(r"(?:^|[\s(])([^\W\d_])[.．]\s?$")
@@ -156,37 +156,49 @@ def _capital(text: str, j: int, stop: int) -> bool:
     return text[j].isupper() and (j + 1 >= stop or text[j + 1].islower() or text[j + 1].isspace() or text[j + 1] in ".．" or bool(_INVISIBLE.match(text[j + 1])))
 
 
-def _before(text: str, dot: int, start: int) -> re.Match | None:
-    """The run of letters and signs before a full stop, as far as an abbreviation may reach; longer runs are none."""
-    return _TOKEN.search(text, max(start, dot - 64), dot)
+class _InToken(dict):
+    def __missing__(self, c: str) -> bool:
+        inside = self[c] = _TOKEN.match(c) is not None
+        return inside
+
+
+_IN_TOKEN = _InToken()
+
+
+def _before(text: str, dot: int, start: int) -> int:
+    """Where the run of letters and signs before a full stop begins, as far as an abbreviation may reach; longer runs are none."""
+    at, low = dot, max(start, dot - 64)
+    while at > low and _IN_TOKEN[text[at - 1]]:
+        at -= 1
+    return at
 
 
 def _follows(text: str, dot: int, start: int, lost: bool = False) -> bool:
     """Whether what stands before a full stop may end a sentence at all."""
-    t = _before(text, dot, start)
-    if not t:
+    raw = text[_before(text, dot, start) : dot]
+    if not raw:
         return True
-    token = _abbreviation(t.group())
+    token = _abbreviation(raw)
     if token in NEVER:
         return False
     if lost and (len(token) < 2 or (token in MAYBE and token not in ("etc", "al", "usw", "a.m", "p.m")) or "_" in token):
-        return token.isdigit() or not t.group().isalpha()
+        return token.isdigit() or not raw.isalpha()
     return len(token) > 1 or not token.isalpha()
 
 
 def _full_stop(text: str, dot: int, start: int, j: int, stop: int, case: str, lower_case: bool) -> bool:
-    t = _before(text, dot, start)
+    at = _before(text, dot, start)
     nxt = text[j]
     year = case == "digit" or (case == "open" and nxt in "(（[" and j + 1 < stop and text[j + 1].isdigit())
-    if not t:  # a bracket, a quote or a sign stands before
+    if at == dot:  # a bracket, a quote or a sign stands before
         return not (case == "open" and year and nxt in "(（")
-    raw = t.group()
+    raw = text[at:dot]
     token = _abbreviation(raw)
     if len(token) == 1 and token.isalpha():
-        before = text[max(start, t.start() - 2) : t.start()]
+        before = text[max(start, at - 2) : at]
         if before.endswith("°") or (before[:1].isdigit() and before[1:].isspace()) or before[-1:].isdigit():
             return True  # a unit
-        head = text[max(start, t.start() - 5) : t.start()]
+        head = text[max(start, at - 5) : at]
         c = _COMPOUND.search(head)
         if c and raw.islower() and c.group(1).islower():
             return False  # "d. h.", "u. a.", "т. е."
