@@ -14,6 +14,8 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
@@ -39,9 +41,11 @@ _JOINED = re.compile(r"[0-9]+[a-z][0-9a-z]*")
 RECORD = 720_720
 #: Up to so many repeated ids are broadcast.
 REPEATS = 1_000_000
+#: Up to so many distinct final tokens are broadcast.
+FINALS = 200_000
 #: The share of a word's occurrences in which it ends units of a kind, if it is a usual end of them.
 END_SHARE = 0.002
-_STRIP = WHITE_SPACE + "".join(chr(c) for c in range(0x110000) if _IGNORED.match(chr(c)))
+_STRIP = WHITE_SPACE + "".join(_IGNORED.findall("".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000))))))
 _CLOSED = re.compile(r"[.!?。！？｡．؟।॥]+[\"'”’“»」』）)\]}\s`*_]*$")
 _TRACE = re.compile(r"(?:…|\.\.\.|�|\[|\(|<|\[(?:…|\.\.\.|truncated|cut)\]?)$", re.I)
 _THAI = re.compile(r"[฀-๿]")
@@ -149,28 +153,46 @@ def read_end(text: str, units: list[tuple[int, int]]) -> tuple[str, str, str]:
     return "whole", kind, token
 
 
+@dataclass
+class Extra:
+    """What another operator wants read in the same pass: input columns, and a maker of a function of the texts, their
+    ends (state, kind, token) and these columns that returns the output columns."""
+
+    inputs: dict[str, Column]
+    outputs: dict[str, str]
+    make: Callable[[], Callable[..., list[list]]]
+
+
 def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).digest()
 
 
-def _signs(df: DataFrame, field: str, id_col: str, source: str, order: Column) -> DataFrame:
+def _signs(df: DataFrame, field: str, id_col: str, source: str, order: Column, extra: Extra | None = None) -> DataFrame:
     """Rows of three kinds: ``r`` records, ``v`` vocabulary, ``e`` ends of units within texts; records have digests of their last lines and of what leads to them."""
-    kept = df.select(F.col(id_col).cast("bigint").alias("row_id"), order.cast("timestamp").alias("o"), F.col(source).cast("string").alias("source"), F.col(field).alias("t"))
+    kept = df.select(F.col(id_col).cast("bigint").alias("row_id"), order.cast("timestamp").alias("o"), F.col(source).cast("string").alias("source"), F.col(field).alias("t"), *(c.alias(f"__{n}") for n, c in (extra.inputs if extra else {}).items()))
+    more = [c for c in kept.columns if c.startswith("__")]
     repeats = checkpointed(kept.groupBy("row_id").agg(F.count("*").alias("k")).where("k > 1"))
-    kept = kept.join(F.broadcast(repeats) if repeats.count() <= REPEATS else repeats, "row_id", "left").select("row_id", "o", "source", "t", F.coalesce("k", F.lit(1)).alias("k"))
+    kept = kept.join(F.broadcast(repeats) if repeats.count() <= REPEATS else repeats, "row_id", "left").select("row_id", "o", "source", "t", F.coalesce("k", F.lit(1)).alias("k"), *more)
+
+    reader = extra.make if extra else None
 
     def make():
-        def signs(ids, orders, sources, texts, deliveries):
+        read = reader() if reader else None
+
+        def signs(ids, orders, sources, texts, deliveries, *columns):
             words: Counter[str] = Counter()
             shared: Counter[str] = Counter()
             ends: Counter[tuple[str, str]] = Counter()
             out: list[tuple] = []
+            states: list[tuple[str, str, str]] = []
             for i, o, s, t, times in zip(ids, orders, sources, texts, deliveries):
                 if t is None:
+                    states.append(("whole", "none", ""))
                     out.append(("r", i, o, s, "whole", "none", "", 0, 0, None, None))
                     continue
                 units = sentence_units(t)
                 state, kind, token = read_end(t, units)
+                states.append((state, kind, token))
                 line = lead = None
                 if state == "open" and len(units) > 1:
                     # the last unit behind the whole one before it, and the words that lead to them
@@ -201,11 +223,15 @@ def _signs(df: DataFrame, field: str, id_col: str, source: str, order: Column) -
                 shared[w] += n * RECORD
             out += [("v", 0, None, None, None, None, w, n, 0, None, None) for w, n in shared.items()]
             out += [("e", 0, None, None, None, k, w, n, 0, None, None) for (k, w), n in ends.items()]
-            return [list(c) for c in zip(*out)]
+            found = [list(c) for c in zip(*out)]
+            if read:  # the records come first
+                rest = [None] * (len(out) - len(texts))
+                found += [c + rest for c in read(texts, states, *columns)]
+            return found
 
         return signs
 
-    return map_batches(kept, make, "what string, row_id bigint, o timestamp, source string, state string, kind string, token string, n bigint, n_bytes bigint, line binary, lead binary")
+    return map_batches(kept, make, "what string, row_id bigint, o timestamp, source string, state string, kind string, token string, n bigint, n_bytes bigint, line binary, lead binary" + "".join(f", {n} {t}" for n, t in (extra.outputs if extra else {}).items()))
 
 
 def trie_nodes(words: DataFrame, finals: DataFrame) -> DataFrame:
@@ -214,9 +240,12 @@ def trie_nodes(words: DataFrame, finals: DataFrame) -> DataFrame:
     ``words`` are ``token, c``. The trie is a table with a row a node: the letters that lead to it, the count of the word
     that ends there, and that of all words through it. So it is built by one grouped sum and grows with the cluster.
     """
+    few = finals.count() <= FINALS
     node = words.select("token", "c", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("n"))
     node = node.select(F.substring("token", F.lit(1), F.col("n")).alias("token"), F.when(F.col("n") == F.length("token"), F.col("c")).otherwise(0).alias("own"), "c")
-    return node.join(finals, "token", "left_semi").groupBy("token").agg(F.sum("own").alias("own"), F.sum("c").alias("through"))
+    if not few:  # sums first: a short prefix has very many words
+        node = node.groupBy("token").agg(F.sum("own").alias("own"), F.sum("c").alias("c"))
+    return node.join(F.broadcast(finals) if few else finals, "token", "left_semi").groupBy("token").agg(F.sum("own").alias("own"), F.sum("c").alias("through"))
 
 
 def _lookup(finals: DataFrame, words: DataFrame, share: float = 0.005) -> DataFrame:
@@ -260,18 +289,24 @@ def _usual(records: DataFrame, least: int = 3, share: float = 1e-4) -> DataFrame
     return by.crossJoin(F.broadcast(records.agg(F.count("*").alias("all")))).where(F.col("c") >= share * F.col("all")).select("line", F.lit(True).alias("usual"))
 
 
-def truncated(df: DataFrame, field: str = "humanized_text", id_col: str = "result_id", source: str = "source", order: Column | None = None) -> DataFrame:
-    """For each record: ``row_id``, ``source``, ``cut`` (boolean) and ``why``.
+def truncated(df: DataFrame, field: str = "humanized_text", id_col: str = "result_id", source: str = "source", order: Column | None = None, extra: Extra | None = None) -> DataFrame:
+    """For each record: ``row_id``, ``source``, ``cut`` (boolean) and ``why``, and the columns of ``extra``.
 
     Null texts and texts without letters and digits are not cut. Of rows repeated under one id the last by ``order``
     counts. A null source has no limits of its own. Other columns are ignored.
     """
-    signs = checkpointed(_signs(df, field, id_col, source, F.lit(None) if order is None else order))
-    records = signs.where("what = 'r'").groupBy("row_id").agg(F.max_by(F.struct("source", "state", "kind", "token", "n", "n_bytes", "line", "lead"), F.coalesce("o", F.timestamp_seconds(F.lit(0)))).alias("x")).select("row_id", "x.*")
+    signs = checkpointed(_signs(df, field, id_col, source, F.lit(None) if order is None else order, extra))
+    names = list(extra.outputs) if extra else []
+    last = F.coalesce("o", F.timestamp_seconds(F.lit(0)))
+    one = [F.max_by(F.struct("source", "state", "kind", "token", "n", "n_bytes", "line", "lead"), last).alias("x")]
+    if names:  # of the deliveries that have them
+        one.append(F.max_by(F.struct(*names), F.when(F.col(names[0]).isNotNull(), last)).alias("y"))
+    records = signs.where("what = 'r'").groupBy("row_id").agg(*one).select("row_id", "x.*", *(["y.*"] if names else []))
     limits = _limits(records).groupBy("source").agg(F.collect_list(F.struct("measure", "low", "high")).alias("limits"))
     left = records.where("state <> 'whole'")
-    words = signs.where("what = 'v'").groupBy("token").agg(F.sum("n").alias("c"))
-    finals = left.where("state <> 'limit' and token not in ('', '0')").select("token").distinct()
+    # a word of one record alone tells nothing; how often a known one must be is relative
+    words = signs.where("what = 'v'").groupBy("token").agg(F.sum("n").alias("c")).where(F.col("c") >= 2 * RECORD)
+    finals = checkpointed(left.where("state <> 'limit' and token not in ('', '0')").select("token").distinct())
     looked = _lookup(finals, words)
     # a token ends units of a kind if it does so in a share of its occurrences
     ends = signs.where("what = 'e'").groupBy("kind", "token").agg(F.sum("n").alias("e")).join(words, "token", "left").where(F.col("e") >= END_SHARE * F.coalesce("c", F.lit(0))).select("kind", "token", F.lit(True).alias("ends"))
@@ -286,8 +321,8 @@ def truncated(df: DataFrame, field: str = "humanized_text", id_col: str = "resul
     unclosed = F.col("state") == "cut"
     why = F.when(fragment, "fragment").when(at_limit & (unclosed | (F.col("state") == "limit") | F.col("ends").isNull() | (F.col("token") == "0")), "limit").when(unclosed, "open end")
     why = why.when((F.col("state") == "open") & (F.col("kind") == "table"), "row").when((F.col("state") == "open") & strange & F.col("usual").isNull(), "ending")
-    settled = judged.select("row_id", "source", why.isNotNull().alias("cut"), why.alias("why"))
-    return records.where("state = 'whole'").select("row_id", "source", F.lit(False).alias("cut"), F.lit(None).cast("string").alias("why")).unionByName(settled)
+    settled = judged.select("row_id", "source", why.isNotNull().alias("cut"), why.alias("why"), *names)
+    return records.where("state = 'whole'").select("row_id", "source", F.lit(False).alias("cut"), F.lit(None).cast("string").alias("why"), *names).unionByName(settled)
 
 
 def truncation_rates(found: DataFrame) -> DataFrame:
