@@ -454,42 +454,88 @@ def sound_pair(rng, language="en"):
     return f"# {a}\n\nThe {a} is not above the {b}, and the {c} stays near {n}.5 in the night. We saw the {d} in {m} of the samples from the store.", f"# {a}\n\nNot above the {b} is the {a}, and near {n}.5 in the night stays the {c}. In {m} of the samples from the store we saw the {d}."
 
 
-def test_classifier_on_held_out_pairs():
+@pytest.fixture(scope="module")
+def model():
+    rng = random.Random(5)
+    return P.fit([sound_pair(rng, rng.choice(["en", "en", "de"])) for _ in range(150)])
+
+
+def named(model, *pairs):
+    reader = P.Reader(model.profiles)
+    return model.named(reader.pairs([o for o, _ in pairs], [h for _, h in pairs], [P._end(h) for _, h in pairs]))
+
+
+def test_classifier_on_held_out_pairs(model):
     rng = random.Random(5)
-    model = P.fit([sound_pair(rng, rng.choice(["en", "en", "de"])) for _ in range(150)])
     held = [sound_pair(rng, rng.choice(["en", "de"])) for _ in range(60)]
-    examples = P.broken_examples(held, seed=99)
-    reader = P.Reader()
-    right = Counter()
-    whole = Counter()
-    for o, h, label in examples:
-        scores = model.scores(reader.pair(o, h)[0][None])[0]
+    examples = P.broken_examples(held, model.profiles, seed=99)
+    got = [name or "" for name in named(model, *((o, h) for o, h, _ in examples))]
+    right, whole = Counter(), Counter()
+    for name, (_, _, label) in zip(got, examples):
         whole[label] += 1
-        best = P.LABELS[int(scores.argmax())] if scores.max() > 0.5 else ""
-        right[label] += best == label or (label and scores[P.LABELS.index(label)] >= model.thresholds[P.LABELS.index(label)])
+        right[label] += name == label
     assert all(right[k] / whole[k] > 0.9 for k in whole), (right, whole)
+    assert {r[0] for r in model.report} == set(P.LABELS) and all(p > 0.9 and c > 0.9 for _, _, p, c, _ in model.report)
+
+
+def test_thresholds_decide(model):
+    rng = random.Random(9)
+    pairs = [sound_pair(rng) for _ in range(30)]
+    before = named(model, *pairs)
+    zero = P.Model(model.weights, np.full(len(P.LABELS), 1e-9), model.profiles)
+    assert before.count(None) >= 29 and named(zero, *pairs).count(None) == 0
 
 
-def test_copy_behind_a_long_lead_in():
+def test_copies(model):
     o = "The aquifer held the membrane and the sediment, while turbines counted records of it.\n\nA tuber fell. " * 8
     lead = "Thank you for the draft, which I have read with care and now return to you in the form you asked for; " * 9
-    assert P.copies(o, lead + "\n\n" + o) and P.copies(o, "\n" + lead + "\n" + o + "\n\nDone.") and P.copies(o, o)
-    assert P.copies("Method 12", lead + "on Method 12:\n\nMethod 12")
-    assert not P.copies(o, lead + o) and not P.copies(o, lead + "\n\n" + lead + "\n\n" + o) and not P.copies(o, lead + "\n\n" + o + lead)
+    forms = (lead + "\n\n" + o, o, o.upper(), o.replace("a", "а"), "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in o), o.replace("e", "e\u200b"))
+    assert named(model, *((o, h) for h in forms)) == ["copy"] * len(forms)
+    half = "Held by the aquifer were the membrane and the sediment; records of it were counted by turbines.\n\nDown a tuber fell. " * 4
+    assert named(model, (o, o[: len(o) // 2] + "\n\n" + half)) == [None]
 
 
 @pytest.mark.parametrize("was, now", [("kHz", "㎑"), ("سلام", "ﺳﻼﻡ"), ("กำ", "กํา"), ("ß²", "ß²"), ("क़", "क\u093c"), ("é", "e\u0301"), ("fi", "ﬁ")])
-def test_copy_in_other_forms(was, now):
+def test_copy_in_other_forms(model, was, now):
     o = f"At {was} the aquifer held the membrane and the sediment, while turbines counted records of it. " * 9
-    assert P.skeleton(was) == P.skeleton(now) and P.copies(o, o.replace(was, now)) and P.copies(o.replace(was, now), o)
-    assert not P.copies(o, o.replace("aquifer", "reservoir"))
+    assert P.skeleton(was) == P.skeleton(now) and named(model, (o, o.replace(was, now)), (o.replace(was, now), o)) == ["copy"] * 2
 
 
-def test_language_is_that_of_the_running_text():
+def test_skeletons_by_table():
+    rng = random.Random(3)
+    chars = "aBc ﬁ㎑ﺳé\u0301ßกำक़Аοｗ²½ i\u200b\ud55c\u1112\u1161\u11ab\U0001d400漢"
+    for _ in range(200):
+        texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 12))) for _ in range(3)]
+        codes, at = P.skeleton_codes(texts)
+        assert ["".join(map(chr, codes[a:b])) for a, b in zip(at, at[1:])] == [P.skeleton(t) for t in texts]
+
+
+OTHERS = {
+    "tr": "Bu çalışmada suyun akışı ve toprağın yapısı incelendi. Ölçümler yaz boyunca her gün yapıldı ve sonuçlar önceki yıllarla karşılaştırıldı.",
+    "it": "In questo studio sono stati esaminati il flusso dell'acqua e la struttura del suolo. Le misure sono state fatte ogni giorno e i risultati sono stati confrontati con quelli degli anni precedenti.",
+    "pl": "W tym badaniu zbadano przepływ wody i strukturę gleby. Pomiary wykonywano codziennie przez całe lato, a wyniki porównano z poprzednimi latami.",
+}
+
+
+@pytest.mark.parametrize("language", OTHERS)
+def test_languages_beyond_the_corpus(model, language):
+    text = OTHERS[language]
+    o = "# Methods\n\nIn this study the flow of water and the structure of the soil were examined. Measurements were taken every day in the summer, and the results were compared with those of earlier years."
+    first, second = re.split(r"(?<=\.) ", text)
+    assert named(model, (o, "# Methods\n\n" + text), ("# Methods\n\n" + text, o)) == ["other_language"] * 2
+    assert named(model, (text, f"{second} {first}")) in ([None], ["copy"])
+
+
+def test_language_is_that_of_the_running_text(model):
     items = "\n".join(f"- the state of the aquifer in the year {i} and that of the membrane" for i in range(12))
-    o = f"The aquifer was in the valley and it was not for the turbine.\n\n{items}"
+    o = f"The aquifer was in the valley and it was not for the turbine that had been joined to the town.\n\n{items}"
     h = f"Der Speicher war in dem Tal und er war nicht für die Turbine, die mit dem Werk und der Stadt verbunden ist.\n\n{items}"
-    assert P.Reader().pair(o, h)[1]["apart"] and not P.Reader().pair(o, o)[1]["apart"]
+    assert named(model, (o, h)) == ["other_language"]
+
+
+def test_few_records_teach_enough(spark):
+    rows = result_rows(*((i, f"Lead {i}. The {n} was seen near the {m}.", f"Near the {m} the {n} was seen, after lead {i}.", "ok") for i, (n, m) in enumerate(zip(NOUNS[:5], NOUNS[5:10]))))
+    assert not [r for r in P.broken_pairs(spark.createDataFrame(rows, RESULT)).collect() if r.defect]
 
 
 def test_broken_pairs(spark):

@@ -24,6 +24,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pairs(spark, sf_dir).where("defect is not null").select("result_id", "defect")
 
 
+def p2_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.calibration(table(spark, sf_dir, "chunk_result"))
+
+
 def p3_units(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     chunk, result = table(spark, sf_dir, "chunk"), table(spark, sf_dir, "chunk_result")
     return sentences.sentences(chunk, "text", "chunk_uid", text=text).unionByName(sentences.sentences(result, "humanized_text", "result_id", F.col("ingested_at"), text=text))
@@ -97,7 +101,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_units, p4_found, p4_forms, p4_classes, p5_found, p5_records, p5_rates, p6_found, p6_spans, p6_shares, p7_containers, p7_fill, p8_order, p8_shares, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p2_calibration, p3_found, p3_units, p4_found, p4_forms, p4_classes, p5_found, p5_records, p5_rates, p6_found, p6_spans, p6_shares, p7_containers, p7_fill, p8_order, p8_shares, p9_found, p9_statistics)}
 
 SQL: dict[str, str] = {
     "p1_found": r"""
