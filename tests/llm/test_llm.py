@@ -429,6 +429,14 @@ def test_schedule_is_inverted(spark):
         ("kjlg ruhe qpow zmxn ghty vbnm wert yuio asdf ghjk lqwe rtyu zxcv bnmq wert tyui opas dfgh", "junk"),
         ("", "junk"),
         (None, "junk"),
+        ("Bu çalışmada suyun akışı ve toprağın yapısı incelendi. Ölçümler yaz boyunca her gün yapıldı ve sonuçlar önceki yıllarla karşılaştırıldı.", "prose"),
+        ("W tym badaniu zbadano przepływ wody i strukturę gleby. Pomiary wykonywano codziennie przez całe lato, a wyniki porównano z poprzednimi latami.", "prose"),
+        ("이 연구에서는 물의 흐름과 토양의 구조를 조사하였다. 측정은 여름 내내 매일 이루어졌으며 결과는 이전 해의 결과와 비교되었다. 결과는 뚜렷한 차이를 보여 주었다.", "prose"),
+        ("Σε αυτή τη μελέτη εξετάστηκε η ροή του νερού και η δομή του εδάφους. Οι μετρήσεις γίνονταν κάθε μέρα και τα αποτελέσματα συγκρίθηκαν με αυτά των προηγούμενων ετών.", "prose"),
+        ("Tässä tutkimuksessa tarkasteltiin veden virtausta ja maaperän rakennetta. Mittaukset tehtiin joka päivä kesän ajan, ja tuloksia verrattiin aiempien vuosien tuloksiin.", "prose"),
+        ("Katika utafiti huu mtiririko wa maji na muundo wa udongo vilichunguzwa. Vipimo vilifanyika kila siku wakati wa kiangazi, na matokeo yakalinganishwa na ya miaka iliyopita.", "prose"),
+        ("bearing granular membrane coding Ilmaric porosity training alkaline mortar transport axial questionnaire drift scaffold coverage canopy resistance", "junk"),
+        ("n th plt st, th ltnt prssr f th btch (pvmnt, qstnnr, smpls) ws hld. Th crrdr ws lmtd by rbst wr, n vry rplct, nd th skwd clny n th rvr mth.", "junk"),
     ],
 )
 def test_quality_kinds(text, kind):
@@ -436,6 +444,28 @@ def test_quality_kinds(text, kind):
     assert found["kind"] == kind and (kind != "junk" or found["reasons"])
 
 
+def test_batches_do_not_matter():
+    texts = ["The fox ran.\n\n- a b\n- c d", "", "x", "a,b\n1,2\n3,4", "\n\n  \n", "Ünï <b>c</b> … 12 #a", "𝐀𝐁 水は火。", "a b" * 9000, "\t", "q" * 30 + "A1"] * 2
+    together = Q.Batch(texts)
+    for i, t in enumerate(texts):
+        alone = Q.statistics(t)
+        assert {k: v[i].item() for k, v in together.figures.items()} | {"kind": together.kind[i], "reasons": together.reasons[i], "language": together.language[i]} == alone
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aB1 .,-'\n\t|é水ก#é𝐀…", max_size=60))
+def test_figures_against_plain_counts(text):
+    f = Q.statistics(text)
+    words = re.findall(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f'’-])*", text)
+    unspaced = len(re.findall(r"[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]", text))
+    lines = [x for x in text.split("\n") if x.strip()]
+    assert f["chars"] == len(text) and f["words"] == len(words) + unspaced // 2
+    assert f["mean_word_length"] == (round(sum(map(len, words)) / len(words), 3) if words else 0)
+    assert f["digit_ratio"] == round(sum(map(str.isdigit, text)) / max(1, len(text)), 4)
+    assert f["closed_line_ratio"] == (round(sum(bool(re.search(r"[.!?…。]['’\"]*\s*$", x)) for x in lines) / len(lines), 4) if lines else 0)
+    assert f["distinct_ratio"] == (round(len({w.lower() for w in words}) / len(words), 4) if words else 1)
+
+
 def test_quality_frame(spark):
     df = spark.createDataFrame([(1, "The fox is in the hill.", "k"), (1, "The fox is in the hill.", "k"), (2, None, "k")], "doc_id bigint, text string, kind string")
     assert sorted((r.doc_id, r.kind) for r in Q.quality(df).collect()) == [(1, "prose"), (1, "prose"), (2, "junk")]

@@ -6,6 +6,8 @@ import unicodedata
 
 import numpy as np
 
+from .spans import _mix, _Powers
+
 # Article 1 of the Universal Declaration of Human Rights (fixed values).
 SEEDS = {
     "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
@@ -60,6 +62,52 @@ STOPS = {
 }
 STOPS = {k: frozenset(v.split()) for k, v in STOPS.items()}
 
+_MASKS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def text_hashes(texts: list[str]) -> np.ndarray:
+    """Hashes of whole texts, as the running hashes of ``quality`` give them for words in lower case."""
+    with np.errstate(over="ignore"):
+        out = []
+        for t in texts:
+            codes = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+            up, _ = _Powers.of(len(codes) + 1)
+            out.append((_mix(codes.astype(np.uint64) + np.uint64(11)) * up[: len(codes)]).sum(dtype=np.uint64))
+    return np.array(out, dtype=np.uint64)
+
+
+def stop_masks(hashes: np.ndarray) -> np.ndarray:
+    """For each word's hash the languages whose lists have it, a bit each in the order of ``STOPS``."""
+    if not _MASKS:
+        words: dict[str, int] = {}
+        for k, ws in enumerate(STOPS.values()):
+            for w in ws:
+                words[w] = words.get(w, 0) | 1 << k
+        h = text_hashes(list(words))
+        order = np.argsort(h)
+        _MASKS.append((h[order], np.array(list(words.values()), dtype=np.uint32)[order]))
+    known, masks = _MASKS[0]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, masks[at], np.uint32(0))
+
+
+SCRIPTS = ("latin", "cyrillic", "greek", "arabic", "devanagari", "thai", "hangul", "kana", "han")
+_SCRIPTS: list[np.ndarray] = []
+
+
+def script_table() -> np.ndarray:
+    """The script of each letter of the basic plane, counted from 1 in the order of ``SCRIPTS``; 0 is none of them."""
+    if not _SCRIPTS:
+        table = np.zeros(0x10000, dtype=np.uint8)
+        ranges = ((0x41, 0x250), (0x1E00, 0x1F00)), ((0x400, 0x530),), ((0x370, 0x400), (0x1F00, 0x2000)), ((0x600, 0x780),), ((0x900, 0x980),), ((0xE00, 0xE80),), ((0x1100, 0x1200), (0xAC00, 0xD7A4)), ((0x3040, 0x3100),), ((0x3400, 0xA000),)
+        for k, of in enumerate(ranges, 1):
+            for a, b in of:
+                table[a:b] = k
+        table[[c for c in range(0x10000) if not chr(c).isalpha()]] = 0
+        _SCRIPTS.append(table)
+    return _SCRIPTS[0]
+
+
 WIDTH = 4096
 SPACE = 0x20
 _TABLES: list[np.ndarray] = []
