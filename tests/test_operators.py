@@ -190,6 +190,34 @@ def test_rewrite(spark):
     assert out[3].skipped and out[3].humanized_text == "Refs" and out[4].humanized_text == ""
 
 
+CHUNKS = "chunk_uid int, doc_id int, chunk_id int, text string, section_type string, is_protected boolean, prev_context_tail string, status string"
+
+
+def test_documents_are_driven_in_order(spark):
+    rows = [(1, 1, 0, "One two three four. Five.", "results", False, "own", "x"), (2, 1, 1, "Refs here", "references", None, "own", "x"), (3, 1, 2, "fail now", "results", None, "own", "x"), (4, 1, 3, "six\u200b seven", None, None, None, "x"), (5, 2, 0, None, None, None, None, "x"), (6, 2, 1, "later on", None, None, "its own", "x"), (7, None, None, "alone", None, None, None, "x")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def call(text, context):
+        seen.add(1)
+        if text.startswith("fail"):
+            raise ValueError("no")
+        return f"```\n{text.upper()}\n```"
+
+    out = {r.chunk_uid: r for r in R.drive_documents(spark.createDataFrame(rows, CHUNKS), call, pause=lambda _: None).collect()}
+    assert out[1].humanized_text == "ONE TWO THREE FOUR. FIVE." and out[1].context == "own"
+    assert out[2].skipped and out[2].humanized_text == "Refs here" and out[2].attempts == 0
+    assert (out[3].status, out[3].humanized_text, out[3].attempts) == ("error: no", "fail now", 3) and "FOUR" in out[3].context
+    assert out[4].context == "fail now" and out[4].humanized_text == "SIX SEVEN" and out[4].word_count == 2
+    assert out[5].humanized_text == "" and out[7].humanized_text == "ALONE" and seen.value == 8
+    assert R.drive_documents(spark.createDataFrame([], CHUNKS), call).count() == 0
+    one = R.rewrite_text(call, spark.createDataFrame([("a b", 1), ("fail", 2), (None, 3)], "text string, status0 int"), pause=lambda _: None).collect()
+    assert sorted((r.status0, r.rewritten, r.status) for r in one) == [(1, "A B", "success"), (2, "fail", "error: no"), (3, "", "success")]
+
+
+def test_last_long_sentence_in_python():
+    assert [R.last_long(t) for t in ("", "One. Two three four five! Six.", "a b", "A b. C d.")] == ["", "Two three four five!", "a b", "C d."]
+
+
 def test_retries():
     waits, calls = [], []
 

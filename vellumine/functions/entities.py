@@ -79,5 +79,9 @@ def citations(text: Column) -> Column:
     return F.transform(T.matches_of(plain_dashes(text), CITATION), lambda m: F.struct(F.translate(F.regexp_extract(m, rf"({P.D}+)", 1), *P.DIGITS).try_cast("int").alias("num"), m.alias("raw")))
 
 
-def entities(text: Column) -> Column:
-    return F.struct(p_values(text).alias("p_values"), percentages(text).alias("percentages"), unit_metrics(text).alias("unit_metrics"), raw_numbers(text).alias("raw_numbers"), figures(text).alias("figures"), tables(text).alias("tables"), residues(text).alias("residues"), years(text).alias("years"), citations(text).alias("citations"))
+KINDS = {"p_values": p_values, "percentages": percentages, "unit_metrics": unit_metrics, "raw_numbers": raw_numbers, "figures": figures, "tables": tables, "residues": residues, "years": years, "citations": citations}
+
+
+def entities(text: Column, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
+    """A struct with a field for each kind asked for."""
+    return F.struct(*(KINDS[k](text).alias(k) for k in kinds))

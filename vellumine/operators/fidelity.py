@@ -46,19 +46,37 @@ def _check(name: str, kind: str, severity: str, exact: bool):
     return lambda x: F.struct(F.lit(name).alias("type"), x.alias("original"), F.lit(severity).alias("severity"), _found(kind, x, exact).alias("found"))
 
 
-def checks(df: DataFrame, id_col: str, before: str, after: str, exact: bool = False) -> DataFrame:
-    """A row per check: id, ``type``, ``original``, ``severity``, ``found``. Null texts count as empty."""
-    base = df.select(id_col, F.coalesce(before, F.lit("")).alias("before_text"), F.coalesce(after, F.lit("")).alias("after_text")).withColumn("before", E.entities(F.col("before_text"))).withColumn("after", E.entities(F.col("after_text")))
-    items = F.flatten(F.array(*(F.transform(F.col(f"before.{kind}"), _check(name, kind, severity, exact)) for name, kind, severity in RULES)))
-    turned = F.transform(inversions(F.col("before.citations"), F.col("after.citations")), lambda p: F.struct(F.lit("Citation Sequence Inversion").alias("type"), F.format_string("[%d] before [%d]", p["a"], p["b"]).alias("original"), F.lit("HIGH").alias("severity"), F.lit(False).alias("found")))
-    return base.select(id_col, F.explode(F.concat(items, turned)).alias("c")).select(id_col, "c.*")
+INVERSION = "Citation Sequence Inversion"
+
+
+def _check_arrays(df: DataFrame, id_col: str, before: str, after: str, exact: bool, only: tuple[str, ...] | None) -> DataFrame:
+    """A row's checks as an array ``checks``; of the entities only those are looked for that the asked rules need."""
+    rules = [r for r in RULES if only is None or r[0] in only]
+    turned = only is None or INVERSION in only
+    kinds = tuple(k for _, k, _ in rules) + (("citations",) if turned else ())
+    base = df.select(id_col, F.coalesce(before, F.lit("")).alias("before_text"), F.coalesce(after, F.lit("")).alias("after_text"))
+    base = base.withColumn("before", E.entities(F.col("before_text"), kinds)).withColumn("after", E.entities(F.col("after_text"), kinds))
+    parts = [F.transform(F.col(f"before.{kind}"), _check(name, kind, severity, exact)) for name, kind, severity in rules]
+    if turned:
+        pairs = inversions(F.col("before.citations"), F.col("after.citations"))
+        said = lambda p: F.format_string("[%d] before [%d]", p["a"], p["b"])
+        parts.append(F.transform(pairs, lambda p: F.struct(F.lit(INVERSION).alias("type"), said(p).alias("original"), F.lit("HIGH").alias("severity"), F.lit(False).alias("found"))))
+    return base.select(id_col, F.concat(*parts).alias("checks"))
+
+
+def checks(df: DataFrame, id_col: str, before: str, after: str, exact: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
+    """A row per check: id, ``type``, ``original``, ``severity``, ``found``; of the types in ``only`` where given. Null texts count as empty."""
+    return _check_arrays(df, id_col, before, after, exact, only).select(id_col, F.explode("checks").alias("c")).select(id_col, "c.*")
 
 
 def report(df: DataFrame, id_col: str, before: str, after: str, exact: bool = False) -> DataFrame:
-    """A row per id: checks, passed, failed, score in percent, and whether it is safe."""
-    found = checks(df, id_col, before, after, exact)
-    by = found.groupBy(id_col).agg(F.count("*").alias("total_checks"), F.count_if("found").alias("passed_checks"), F.bool_or((F.col("severity") == "CRITICAL") & ~F.col("found")).alias("critical"))
-    whole = df.select(id_col).distinct().join(by, id_col, "left").fillna(0, ["total_checks", "passed_checks"])
+    """For each row: its id, checks, passed, failed, score in percent, and whether it is safe.
+
+    The checks of a row are folded where they are, so nothing is shuffled; rows repeated under one id give one each.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), F.lit(False).alias("critical"))
+    add = lambda acc, c: F.struct((acc["n"] + 1).alias("n"), (acc["p"] + F.when(c["found"], 1).otherwise(0)).alias("p"), (acc["critical"] | ((c["severity"] == "CRITICAL") & ~c["found"])).alias("critical"))
+    folded = _check_arrays(df, id_col, before, after, exact, None).select(id_col, F.aggregate("checks", start, add).alias("x")).select(id_col, F.col("x.n").alias("total_checks"), F.col("x.p").alias("passed_checks"), "x.critical")
     score = F.when(F.col("total_checks") == 0, 100.0).otherwise(F.floor((2000 * F.col("passed_checks") + F.col("total_checks")) / (2 * F.greatest("total_checks", F.lit(1)))).cast("double") / 10)
-    out = whole.withColumn("fidelity_score", score)
-    return out.select(id_col, "total_checks", "passed_checks", (F.col("total_checks") - F.col("passed_checks")).alias("failed_checks"), "fidelity_score", ((F.col("fidelity_score") >= 95) & ~F.coalesce("critical", F.lit(False))).alias("is_safe"))
+    out = folded.withColumn("fidelity_score", score)
+    return out.select(id_col, "total_checks", "passed_checks", (F.col("total_checks") - F.col("passed_checks")).alias("failed_checks"), "fidelity_score", ((F.col("fidelity_score") >= 95) & ~F.col("critical")).alias("is_safe"))

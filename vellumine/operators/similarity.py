@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import patterns as P, text as T
+from ..session import checkpointed
 
 TOKEN = f"{P.B}[a-zA-Z0-9_-]+{P.B}"
 
@@ -49,15 +50,29 @@ def gram_rows(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return toks.select(id_col, F.explode(ngrams(F.col("__t"), n)).alias("gram")).distinct()
 
 
+#: Up to so many distinct n-grams of all sources are broadcast.
+FEW_GRAMS = 2_000_000
+
+
 def source_overlap(sources: DataFrame, drafts: DataFrame, n: int = 4, source_id: str = "source_idx", draft_id: str = "doc_id") -> DataFrame:
     """For each source and draft that share an n-gram: how many, and the share of the source's that the draft has.
 
-    An inverted index: both sides are exploded to n-grams and meet in an equi-join, so only pairs with a common n-gram
-    ever exist. Grams are joined by 64-bit hash, then compared.
+    An inverted index: a draft's n-grams are kept where a source has one of the same 64-bit hash, before anything of the
+    drafts is shuffled, and are then compared. The sources' hashes are broadcast if they are few, else joined.
     """
-    s = gram_rows(sources, source_id, "text", n).withColumn("h", F.xxhash64("gram"))
-    d = gram_rows(drafts, draft_id, "text", n).withColumn("h", F.xxhash64("gram")).withColumnRenamed("gram", "gram2")
+    s = checkpointed(gram_rows(sources, source_id, "text", n).withColumn("h", F.xxhash64("gram")))
+    hashes = checkpointed(s.select("h").distinct())
+    few = hashes.count() <= FEW_GRAMS
+    d = drafts.select(F.col(draft_id), tokens(F.col("text")).alias("__t")).select(draft_id, F.explode(ngrams(F.col("__t"), n)).alias("gram2")).withColumn("h", F.xxhash64("gram2"))
+    d = d.join(F.broadcast(hashes) if few else hashes, "h", "left_semi").distinct()
     whole = s.groupBy(source_id).agg(F.count("*").alias("source_ngrams"))
-    common = s.join(d, "h").where("gram = gram2").groupBy(source_id, draft_id).agg(F.count("*").alias("common"))
+    common = d.join(s, "h").where("gram = gram2").groupBy(source_id, draft_id).agg(F.count("*").alias("common"))
     out = common.join(whole, source_id)
     return out.select(source_id, draft_id, "common", "source_ngrams", T.percent(F.col("common"), F.col("source_ngrams")).alias("overlap"))
+
+
+def shared_grams(df: DataFrame, id_col: str, a: str, b: str, n: int) -> DataFrame:
+    """How many distinct n-grams of one text stand in another of the same row; rows that share none are left out."""
+    grams = lambda c: T.let(tokens(F.col(c)), lambda t: ngrams(t, n))
+    both = F.array_intersect(grams(a), grams(b))
+    return df.select(id_col, F.size(both).cast("long").alias("common")).where("common > 0")

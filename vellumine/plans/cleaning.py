@@ -45,21 +45,21 @@ for _p, _to in T.MARKER_STEPS:
 column("clean_t06_markers", lambda: {"cleaned": T.clean_markers(F.col(H))}, {"cleaned": Q.strip(_marked)})
 
 
-def _output_sql(t: str) -> str:
+def _output_sql(t: str, source: str = "chunk_result", key: str = "result_id") -> str:
     """The steps of ``clean_output`` as nested queries, each naming its result x."""
     fence = rf"(?s)^```(?:text|markdown|plain)?{P.S}*\n(.*?)```{P.S}*$"
-    q = f"SELECT result_id, {Q.strip(Q.text(t))} AS x FROM chunk_result"
-    q = f"SELECT result_id, CASE WHEN regexp_matches(x, {Q.lit(fence)}) THEN {Q.strip(f'regexp_extract(x, {Q.lit(fence)}, 1)')} ELSE x END AS x FROM ({q})"
-    q = f"SELECT result_id, x, {Q.strip('substring(x, 2, greatest(0, length(x) - 2))')} AS y FROM ({q})"
-    q = f"SELECT result_id, CASE WHEN length(x) >= 2 AND ((starts_with(x, '\"') AND ends_with(x, '\"')) OR (starts_with(x, '''') AND ends_with(x, ''''))) AND length(y) > 50 THEN y ELSE x END AS x FROM ({q})"
+    q = f"SELECT {key}, {Q.strip(Q.text(t))} AS x FROM {source}"
+    q = f"SELECT {key}, CASE WHEN regexp_matches(x, {Q.lit(fence)}) THEN {Q.strip(f'regexp_extract(x, {Q.lit(fence)}, 1)')} ELSE x END AS x FROM ({q})"
+    q = f"SELECT {key}, x, {Q.strip('substring(x, 2, greatest(0, length(x) - 2))')} AS y FROM ({q})"
+    q = f"SELECT {key}, CASE WHEN length(x) >= 2 AND ((starts_with(x, '\"') AND ends_with(x, '\"')) OR (starts_with(x, '''') AND ends_with(x, ''''))) AND length(y) > 50 THEN y ELSE x END AS x FROM ({q})"
     for p in (*T.OPENINGS, *T.ENDINGS):
-        q = f"SELECT result_id, {Q.strip(Q.sub('x', p.replace('(?iu)', '(?i)').replace('(?ius)', '(?is)')))} AS x FROM ({q})"
+        q = f"SELECT {key}, {Q.strip(Q.sub('x', p.replace('(?iu)', '(?i)').replace('(?ius)', '(?is)')))} AS x FROM ({q})"
     for p in P.LEAKS:
-        q = f"SELECT result_id, {Q.sub('x', '(?i)' + p)} AS x FROM ({q})"
-    q = f"SELECT result_id, {Q.sub(Q.sub('x', chr(92) + 'n{3,}', chr(10) * 2), '[ ' + chr(92) + 't]{2,}', ' ')} AS x FROM ({q})"
+        q = f"SELECT {key}, {Q.sub('x', '(?i)' + p)} AS x FROM ({q})"
+    q = f"SELECT {key}, {Q.sub(Q.sub('x', chr(92) + 'n{3,}', chr(10) * 2), '[ ' + chr(92) + 't]{2,}', ' ')} AS x FROM ({q})"
     for p, to in T.MARKER_STEPS:
-        q = f"SELECT result_id, {Q.sub('x', p, to)} AS x FROM ({q})"
-    return f"SELECT result_id, {Q.strip('x')} AS cleaned FROM ({q})"
+        q = f"SELECT {key}, {Q.sub('x', p, to)} AS x FROM ({q})"
+    return f"SELECT {key}, {Q.strip('x')} AS cleaned FROM ({q})"
 
 
 add("clean_t07_output", lambda spark, d: _results(spark, d).select("result_id", T.clean_output(F.col(H)).alias("cleaned")), _output_sql(H))

@@ -8,6 +8,7 @@ from ..functions import audit as A, bounds as L, patterns as P, text as T
 from ..operators import chunking as G, rewrite as R, structure as S
 from ..operators.scale import prefix_sums
 from ..session import table
+from ..streaming.audit import audited
 from . import cleaning, sql as Q
 
 QUERIES, SQL = {}, {}
@@ -114,7 +115,6 @@ _packed = f"{_fold}, g AS (SELECT f.doc_id, new_chunk, sum(b.word_count)::BIGINT
 _tailed = f"{_packed}, t AS (SELECT *, {_tail('text')} AS tail FROM g) SELECT * EXCLUDE (tail), lag(tail, 1, '') OVER (PARTITION BY doc_id ORDER BY new_chunk) AS prev_context_tail FROM t"
 add("struct_c02_chunker", lambda spark, d: G.pack_chunks(S.sections(_blocks(spark, d)), "doc_id", _order), _tailed)
 add("win_w04_tails", lambda spark, d: G.pack_chunks(S.sections(_blocks(spark, d)), "doc_id", _order).select("doc_id", "new_chunk", "prev_context_tail"), f"SELECT doc_id, new_chunk, prev_context_tail FROM ({_tailed})")
-add("win_w07_stitching", lambda spark, d: table(spark, d, "chunk_result").select("result_id", "doc_id", "chunk_id", T.last_long_sentence(F.col("humanized_text")).alias("tail")).distinct().withColumn("prev_tail", F.lag("tail", 1, "").over(Window.partitionBy("doc_id").orderBy("chunk_id", "result_id"))).select("result_id", "prev_tail"))
 
 # ---- captions, profile, context
 _paras = f"SELECT chunk_uid, {Q.strip('unnest(string_split(' + Q.text('text') + f', {NL} || {NL}))')} AS p FROM {_once}"
@@ -204,7 +204,31 @@ _r1 = "(SELECT result_id, any_value(original_text) AS original_text, any_value(h
 _par = lambda f, n: f"SELECT result_id, unnest(p) AS {n}, (generate_subscripts(p, 1) - 1)::INT AS ord FROM (SELECT result_id, list_filter(list_transform(string_split({Q.text(f)}, {NL} || {NL}), lambda x: {Q.strip('x')}), lambda x: x <> '') AS p FROM {_r1})"
 _zip = f"SELECT result_id, ord, CASE WHEN old IS NULL THEN 'inserted' WHEN new_ IS NULL THEN 'blanked' ELSE 'rewritten' END AS action, {Q.strip('regexp_replace(coalesce(new_, ' + chr(39) * 2 + '), ' + Q.lit(f'^#{{1,6}}{P.S}*') + ', ' + chr(39) * 2 + ')')} AS text FROM ({_par('original_text', 'old')}) FULL JOIN ({_par('humanized_text', 'new_')}) USING (result_id, ord)"
 add("join_j08_paragraphs", join_j08_paragraphs, _zip)
-add("struct_s13_in_place", lambda spark, d: join_j08_paragraphs(spark, d).groupBy("action").agg(F.count("*").alias("paragraphs")), f"SELECT action, count(*) AS paragraphs FROM ({_zip}) GROUP BY 1")
+
+
+def struct_s13_in_place(spark: SparkSession, d: str) -> DataFrame:
+    """The rewrite put into the places of its paragraphs: each place rewritten, or blanked where the rewrite has ended, what
+    is left over inserted behind the last; protected chunks are kept as they are. Pairs by ordinal, within the row."""
+    r = table(spark, d, "chunk_result").dropDuplicates(["result_id"])
+    kept = F.coalesce(F.col("is_protected"), F.lit(False))
+    new = F.filter(F.transform(F.split(F.coalesce("humanized_text", F.lit("")), "\n\n"), T.strip), lambda x: x != "")
+    pairs = F.posexplode(F.arrays_zip(F.coalesce("para_indices", F.array().cast("array<int>")).alias("place"), new.alias("new")))
+    rows = r.select("result_id", kept.alias("kept"), pairs.alias("ord", "p")).select("result_id", "ord", "kept", F.col("p.place").alias("para_idx"), F.col("p.new").alias("new"))
+    action = F.when(F.col("kept"), "kept").when(F.col("para_idx").isNull(), "inserted").when(F.col("new").isNull(), "blanked").otherwise("rewritten")
+    text = F.when(F.col("kept"), None).otherwise(F.regexp_replace(F.coalesce("new", F.lit("")), rf"^#{{1,6}}{P.S}*", ""))
+    return rows.select("result_id", "ord", "para_idx", action.alias("action"), text.alias("text"))
+
+
+_places = "(SELECT result_id, any_value(humanized_text) AS h, any_value(coalesce(is_protected, false)) AS kept, any_value(para_indices) AS places FROM chunk_result GROUP BY 1)"
+_new = f"list_filter(list_transform(string_split({Q.text('h')}, {NL} || {NL}), lambda x: {Q.strip('x')}), lambda x: x <> '')"
+_zipped = f"SELECT result_id, kept, places, n, unnest(range(0, greatest(len(coalesce(places, [])), len(n)))) AS i FROM (SELECT *, {_new} AS n FROM {_places})"
+add(
+    "struct_s13_in_place",
+    struct_s13_in_place,
+    f"""SELECT result_id, i::INT AS ord, places[i + 1] AS para_idx,
+        CASE WHEN kept THEN 'kept' WHEN places[i + 1] IS NULL THEN 'inserted' WHEN n[i + 1] IS NULL THEN 'blanked' ELSE 'rewritten' END AS action,
+        CASE WHEN NOT kept THEN regexp_replace(coalesce(n[i + 1], ''), {Q.lit(f'^#{{1,6}}{P.S}*')}, '') END AS text FROM ({_zipped})""",
+)
 
 
 def join_j09_lexicon(spark: SparkSession, d: str) -> DataFrame:
@@ -221,14 +245,15 @@ add("agg_a02_section_types", lambda spark, d: table(spark, d, "chunk").groupBy("
 add("agg_a03_pattern_counts", lambda spark, d: table(spark, d, "documents").groupBy("lang").agg(*(F.sum(c).alias(n) for n, c in A.counts(F.col("text")).items())), "SELECT lang, " + ", ".join(f"sum({s.replace('humanized_text', 'text')})::BIGINT AS {n}" for n, s in cleaning._sqls.items()) + " FROM documents GROUP BY 1")
 add("agg_a04_triggers", lambda spark, d: cleaning._audited(spark, d, "text", "documents", "doc_id").select("doc_id", "triggers", "score", "level"), f"SELECT doc_id, triggers, score, level FROM ({cleaning.audit_sql('text', 'documents', 'doc_id')})")
 add("agg_a05_sentence_lengths", lambda spark, d: table(spark, d, "documents").select("collection_id", A.rhythm(F.col("text")).alias("r")).groupBy("collection_id").agg(F.sum("r.sentences").alias("sentences"), F.max("r.mean_length").alias("longest_mean")), f"SELECT collection_id, sum(sentences)::BIGINT AS sentences, max(mean_length) AS longest_mean FROM ({cleaning._rhythm.replace('SELECT doc_id, len(l)', 'SELECT collection_id, len(l)').replace('SELECT doc_id, ', 'SELECT collection_id, ')}) GROUP BY 1")
-add("agg_rollup_scores", lambda spark, d: cleaning._audited(spark, d, "text", "documents", "doc_id").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id").rollup("lang", "source").agg(F.count("*").alias("documents"), F.max("score").alias("most")), f"SELECT lang, source, count(*) AS documents, max(score) AS most FROM ({cleaning.audit_sql('text', 'documents', 'doc_id')}) JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id) GROUP BY ROLLUP (lang, source)")
+add("agg_rollup_scores", lambda spark, d: audited(table(spark, d, "documents"), "text", ("lang", "source")).rollup("lang", "source").agg(F.count("*").alias("documents"), F.max("score").alias("most")), f"SELECT lang, source, count(*) AS documents, max(score) AS most FROM ({cleaning.audit_sql('text', 'documents', 'doc_id')}) JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id) GROUP BY ROLLUP (lang, source)")
 
 # ---- top-k, sets
 add("topk_k04_findings", lambda spark, d: table(spark, d, "documents").select("doc_id", F.slice(A.present(F.col("text"), P.BUZZWORDS), 1, 10).alias("first_ten")), f"SELECT doc_id, list_slice({Q.present('text', P.BUZZWORDS)}, 1, 10) AS first_ten FROM documents")
 _first_line = lambda: F.get(F.filter(F.transform(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 400), "\n"), T.strip), lambda x: x != ""), F.lit(0))
 add("topk_k06_first_line", lambda spark, d: table(spark, d, "documents").select("doc_id", _first_line().alias("line"), F.substring("text", 1, 350).alias("head")), f"SELECT doc_id, list_filter(list_transform(string_split(substring({Q.text('text')}, 1, 400), {NL}), lambda x: {Q.strip('x')}), lambda x: x <> '')[1] AS line, substring(text, 1, 350) AS head FROM documents")
 add("topk_k07_tail_sentence", lambda spark, d: _chunks(spark, d).select("chunk_uid", T.tail_sentence(F.col("text")).alias("tail")), f"SELECT chunk_uid, {_tail('text')} AS tail FROM {_once}")
-_marked_ends = rf"list_filter(list_transform(string_split(regexp_replace({Q.strip(Q.text('text'))}, '([.!?])({P.S}+)', '\1' || chr(1), 'g'), chr(1)), lambda s: {Q.strip('s')}), lambda s: s <> '')"
+_sentence_ends = lambda t: rf"list_filter(list_transform(string_split(regexp_replace({Q.strip(Q.text(t))}, '([.!?])({P.S}+)', '\1' || chr(1), 'g'), chr(1)), lambda s: {Q.strip('s')}), lambda s: s <> '')"
+_marked_ends = _sentence_ends("text")
 add("topk_k07_long_sentence", lambda spark, d: _chunks(spark, d).select("chunk_uid", T.last_long_sentence(F.col("text")).alias("tail")), f"SELECT chunk_uid, coalesce(list_filter(l, lambda s: {Q.words('s')} >= 4)[-1], l[-1], '') AS tail FROM (SELECT chunk_uid, {_marked_ends} AS l FROM {_once})")
 add("set_u03_distinct", lambda spark, d: table(spark, d, "documents").select("text").distinct().agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("chars")), "SELECT count(*) AS texts, sum(length(text))::BIGINT AS chars FROM (SELECT DISTINCT text FROM documents)")
 add("set_u04_union", lambda spark, d: table(spark, d, "documents").select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), "text").unionByName(table(spark, d, "source_passage").select(F.lit("source").alias("origin"), F.col("source_idx").cast("long").alias("id"), "text")).groupBy("origin").agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("chars")), "SELECT origin, count(*) AS texts, sum(length(text))::BIGINT AS chars FROM (SELECT 'document' AS origin, text FROM documents UNION ALL SELECT 'source', text FROM source_passage) GROUP BY 1")
@@ -239,7 +264,54 @@ _b = {"preserve": (f"greatest(20, {_ow} - 15)", f"{_ow} + 25"), "concise": (f"gr
 add("struct_c06_bounds", lambda spark, d: table(spark, d, "chunk_result").select("result_id", *(L.bounds(_w("original_text"), m)[k].alias(f"{m}_{k}") for m in _b for k in ("low", "high"))), "SELECT result_id, " + ", ".join(f"({s})::INT AS {m}_{k}" for m, pair in _b.items() for k, s in zip(("low", "high"), pair)) + " FROM chunk_result")
 add("struct_c07_abstract_bounds", lambda spark, d: table(spark, d, "chunk_result").where("section_type = 'abstract'").select("result_id", L.abstract_bounds(_w("original_text")).alias("b")).select("result_id", "b.*"), f"SELECT result_id, CASE WHEN {_ow} >= 100 THEN greatest(200, least({_ow} - 20, 250)) ELSE greatest(20, {_ow} - 15) END::INT AS low, CASE WHEN {_ow} >= 100 THEN greatest(250, least({_ow} + 30, 300)) ELSE {_ow} + 25 END::INT AS high FROM chunk_result WHERE section_type = 'abstract'")
 add("struct_c08_presets", lambda spark, d: L.presets(spark), "SELECT * FROM (VALUES " + ", ".join(f"({Q.lit(n)}, {a}, {b})" for n, a, b in L.PRESETS) + ") AS t(name, low, high)")
-add("ext_e01_rewrite", lambda spark, d: R.rewrite_chunks(table(spark, d, "chunk").dropDuplicates(["chunk_uid"])).select("chunk_uid", "status", "skipped", "word_count"))
+_plain = lambda t: f"nfc_normalize({Q.sub(Q.sub(Q.text(t), P.STRIP_CLASS), P.SPACE_CLASS, ' ')})"
+_work = f"""(SELECT chunk_uid, any_value(doc_id) AS doc_id, any_value(chunk_id) AS chunk_id, any_value(text) AS original, {_plain('any_value(text)')} AS text,
+    any_value(coalesce(prev_context_tail, '')) AS own, any_value(coalesce(is_protected, false) OR coalesce(section_type IN ('front_matter', 'references'), false)) AS kept FROM chunk GROUP BY 1)"""
+_written = cleaning._output_sql("text", _work, "chunk_uid")
+add(
+    "ext_e01_rewrite",
+    lambda spark, d: R.rewrite_chunks(table(spark, d, "chunk").dropDuplicates(["chunk_uid"])).select("chunk_uid", "status", "skipped", "word_count"),
+    f"SELECT chunk_uid, 'success' AS status, kept AS skipped, CASE WHEN kept THEN {Q.words('original')} ELSE {Q.words(_plain('cleaned'))} END AS word_count FROM {_work} JOIN ({_written}) USING (chunk_uid)",
+)
+
+
+def _answers():
+    """A rewriter for tests of the driver: marks each a, never answers texts with "cf.", and those with "e.g." the second time."""
+    asked: set[str] = set()
+
+    def call(text: str, context: str) -> str:
+        if "cf." in text:
+            raise ValueError("no answer")
+        if "e.g." in text and text not in asked:
+            asked.add(text)
+            raise TimeoutError("later")
+        asked.discard(text)
+        return text.replace("a", "A")
+
+    return call
+
+
+def _driven(spark: SparkSession, d: str) -> DataFrame:
+    answers = _answers()
+    return R.drive_documents(table(spark, d, "chunk").dropDuplicates(["chunk_uid"]), answers, pause=lambda _: None)
+
+
+_fails = "NOT kept AND contains(text, 'cf.')"
+_made = "CASE WHEN contains(text, 'cf.') THEN original ELSE replace(text, 'a', 'A') END"
+_tails = f"""SELECT *, CASE WHEN NOT kept THEN coalesce(list_filter(l, lambda s: {Q.words('s')} >= 4)[-1], l[-1], '') END AS tail
+    FROM (SELECT *, {_sentence_ends(_made)} AS l FROM {_work})"""
+_context = "coalesce(nullif(last_value(tail IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY chunk_id, chunk_uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), own)"
+add("win_w07_stitching", lambda spark, d: _driven(spark, d).select("chunk_uid", "context"), f"SELECT chunk_uid, {_context} AS context FROM ({_tails})")
+add(
+    "ext_e03_retries",
+    lambda spark, d: _driven(spark, d).select("chunk_uid", "status", "attempts", "skipped"),
+    f"SELECT chunk_uid, CASE WHEN {_fails} THEN 'error: no answer' ELSE 'success' END AS status, CASE WHEN kept THEN 0 WHEN {_fails} THEN 3 WHEN contains(text, 'e.g.') THEN 2 ELSE 1 END::INT AS attempts, kept AS skipped FROM {_work}",
+)
+add(
+    "ext_e06_one_shot",
+    lambda spark, d: R.rewrite_text(_answers(), table(spark, d, "source_passage"), pause=lambda _: None).select("source_idx", "status"),
+    f"SELECT source_idx, CASE WHEN contains({_plain('text')}, 'cf.') THEN 'error: no answer' ELSE 'success' END AS status FROM source_passage",
+)
 add("ext_e02_driver", lambda spark, d: R.rewrite_chunks(table(spark, d, "chunk").dropDuplicates(["chunk_uid"])).groupBy("skipped", "status").agg(F.count("*").alias("chunks")), f"SELECT p AS skipped, 'success' AS status, count(*) AS chunks FROM (SELECT chunk_uid, bool_or(coalesce(is_protected, false) OR coalesce(section_type IN ('front_matter', 'references'), false)) AS p FROM chunk GROUP BY 1) GROUP BY 1")
 _OLD = {"md": "markdown", "txt": "text", "docx": "word", "pptx": "slides", "pdf": "pages"}
 add("ext_e08_map_lookup", lambda spark, d: table(spark, d, "manuscript").select("doc_id", F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in _OLD.items() for x in kv)), F.lower("file_type")), F.lower("file_type")).alias("kind")), "SELECT doc_id, CASE lower(file_type) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _OLD.items()) + " ELSE lower(file_type) END AS kind FROM manuscript")

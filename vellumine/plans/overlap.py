@@ -121,9 +121,8 @@ add("topk_k01_ranking", topk_k01_ranking, f"SELECT doc_id, source_idx, overlap,
 
 
 def join_j01_ngram_intersection(spark: SparkSession, d: str) -> DataFrame:
-    """The intersection as rows: n-grams of an original that its rewrite has too (one equi-join on record and gram)."""
-    r = table(spark, d, "chunk_result").dropDuplicates(["result_id"])
-    return X.gram_rows(r, "result_id", O, 4).join(X.gram_rows(r, "result_id", H, 4), ["result_id", "gram"], "left_semi").groupBy("result_id").agg(F.count("*").alias("common"))
+    """The intersection of an original's n-grams and its rewrite's, within the row."""
+    return X.shared_grams(table(spark, d, "chunk_result").dropDuplicates(["result_id"]), "result_id", O, H, 4)
 
 
 _one = "(SELECT DISTINCT result_id, original_text, humanized_text FROM chunk_result)"
@@ -267,7 +266,7 @@ _checks = " UNION ALL ".join(_parts.values()) + f" UNION ALL SELECT result_id, '
 
 add("fid_y_checks", lambda spark, d: Y.checks(_one(spark, d), "result_id", O, H), _checks)
 for _i, (_name, _kind, _sev) in enumerate(Y.RULES, 1):
-    add(f"fid_y0{_i}_{_kind}", lambda spark, d, n=_name: Y.checks(_one(spark, d), "result_id", O, H).where(F.col("type") == n).select("result_id", "original", "severity", "found"), f"SELECT result_id, original, severity, found FROM ({_parts[_name]})")
+    add(f"fid_y0{_i}_{_kind}", lambda spark, d, n=_name: Y.checks(_one(spark, d), "result_id", O, H, only=(n,)).select("result_id", "original", "severity", "found"), f"SELECT result_id, original, severity, found FROM ({_parts[_name]})")
 add("fid_y08_inversions", lambda spark, d: _one(spark, d).select("result_id", F.explode(Y.inversions(E.citations(F.col(O)), E.citations(F.col(H)))).alias("p")).select("result_id", "p.a", "p.b"), _turned)
 add("fid_y09_report", lambda spark, d: Y.report(_one(spark, d), "result_id", O, H), f"WITH c AS ({_checks}), g AS (SELECT result_id, count(*) AS n, count(*) FILTER (found) AS p, bool_or(severity = 'CRITICAL' AND NOT found) AS critical FROM c GROUP BY 1), w AS (SELECT result_id, coalesce(n, 0) AS n, coalesce(p, 0) AS p, coalesce(critical, false) AS critical FROM {_once} LEFT JOIN g USING (result_id)), s AS (SELECT *, CASE WHEN n = 0 THEN 100.0 ELSE ((2000 * p + n) // (2 * n)) / 10.0 END::DOUBLE AS score FROM w) SELECT result_id, n AS total_checks, p AS passed_checks, n - p AS failed_checks, score AS fidelity_score, (score >= 95 AND NOT critical) AS is_safe FROM s")
 add("agg_a07_check_counts", lambda spark, d: Y.checks(_one(spark, d), "result_id", O, H).groupBy("type", "severity").agg(F.count("*").alias("total"), F.count_if("found").alias("passed"), F.count_if(~F.col("found")).alias("failed")), f"SELECT type, severity, count(*) AS total, count(*) FILTER (found) AS passed, count(*) FILTER (NOT found) AS failed FROM ({_checks}) GROUP BY 1, 2")
@@ -282,5 +281,5 @@ def win_w05_first_citations(spark: SparkSession, d: str) -> DataFrame:
 
 add("win_w05_first_citations", win_w05_first_citations, f"SELECT result_id, num, row_number() OVER (PARTITION BY result_id ORDER BY pos)::INT AS place FROM ({_firsts(O)})")
 add("win_w06_inversions", lambda spark, d: _one(spark, d).select("result_id", F.size(Y.inversions(E.citations(F.col(O)), E.citations(F.col(H)))).alias("inversions")).where("inversions > 0"), f"SELECT result_id, count(*)::INT AS inversions FROM ({_turned}) GROUP BY 1")
-add("join_j05_callouts_kept", lambda spark, d: Y.checks(_one(spark, d), "result_id", O, H).where(F.col("type").isin("Figure Callout", "Table Callout") & F.col("found")).select("result_id", "original").distinct(), f"SELECT DISTINCT result_id, original FROM ({_checks}) WHERE type IN ('Figure Callout', 'Table Callout') AND found")
-add("join_j06_numbers_lost", lambda spark, d: Y.checks(_one(spark, d), "result_id", O, H).where(F.col("type").isin("Numerical Data", "Citation Year") & ~F.col("found")).select("result_id", "original").distinct(), f"SELECT DISTINCT result_id, original FROM ({_checks}) WHERE type IN ('Numerical Data', 'Citation Year') AND NOT found")
+add("join_j05_callouts_kept", lambda spark, d: Y.checks(_one(spark, d), "result_id", O, H, only=("Figure Callout", "Table Callout")).where("found").select("result_id", "original").distinct(), f"SELECT DISTINCT result_id, original FROM ({_checks}) WHERE type IN ('Figure Callout', 'Table Callout') AND found")
+add("join_j06_numbers_lost", lambda spark, d: Y.checks(_one(spark, d), "result_id", O, H, only=("Numerical Data", "Citation Year")).where("not found").select("result_id", "original").distinct(), f"SELECT DISTINCT result_id, original FROM ({_checks}) WHERE type IN ('Numerical Data', 'Citation Year') AND NOT found")

@@ -35,7 +35,7 @@ def ship(spark: SparkSession) -> None:
     sc._vellumine_shipped = True
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate data: the session's ``spark.checkpoint.dir``.
 
     Where that is unset and the master is local (tests, bench), a folder under the system's temporary directory.
@@ -52,12 +52,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(_shared_folder(df.sparkSession))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """Like ``checkpointed``, as a compressed Parquet table in the shared folder: for rows that carry texts."""
-    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import audit as A
+from ..session import shared_folder
 
 
 def audited(stream: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -19,17 +22,27 @@ def windowed_scores(stream: DataFrame, text: str, at: str, late: str = "10 minut
     return audited(stream.withWatermark(at, late), text, (at,)).groupBy(F.window(at, window).alias("w")).agg(F.count("*").alias("records"), F.max("score").alias("most"), F.sum("triggers").alias("triggers")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "records", "most", "triggers")
 
 
-def replay(spark: SparkSession, path: str, text: str, at: str, name: str = "audit_stream", window: str = "1 day") -> DataFrame:
-    """A Parquet file as a stream, run to its end; the result is what the stream's sink holds."""
+def replay(spark: SparkSession, path: str, text: str, at: str, window: str = "1 day") -> DataFrame:
+    """A Parquet file as a stream, run to its end; the result is the table that the stream writes.
+
+    Executors write each batch's windows as Parquet in the shared folder, beside the stream's own checkpoint, so a run
+    goes on where it was lost and no window passes through the driver.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, file = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder) if file.endswith(".parquet") and not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-    query = windowed_scores(stream.where(F.col(at).isNotNull()), text, at, late="30 days", window=window).writeStream.outputMode("complete").format("memory").queryName(name).start()
+    out = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    windows = windowed_scores(stream.where(F.col(at).isNotNull()), text, at, late="30 days", window=window)
+
+    def store(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/windows")
+
+    query = windows.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(store).start()
     try:
         query.processAllAvailable()
     finally:
         query.stop()
-    return spark.table(name)
+    return spark.read.schema(windows.schema).parquet(f"{out}/windows")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
