@@ -253,7 +253,8 @@ def test_office_sources(spark, tmp_path):
     assert rows["x.docx"].text == "Head\n\nTail\n\n| a | b |\n\n| 1 |"
     assert rows["y.txt"].text == "ok  bytes" and rows["z.pdf"].text == "Hello (all)\ntwo"
     assert rows["bad.docx"].text is None and rows["bad.docx"].error
-    blocks = O.read_docx_blocks(spark, str(tmp_path)).orderBy("block_idx").collect()
+    unread, *blocks = O.read_docx_blocks(spark, str(tmp_path)).orderBy("block_idx").collect()
+    assert unread.path.endswith("bad.docx") and unread.error and unread.type is None and not any(b.error for b in blocks)
     assert [(b.type, b.text, b.level, b.para_idx) for b in blocks] == [("heading", "Head", 2, 0), ("table", "| a | b |\n| --- | --- |\n| 1 |  |", 0, None), ("paragraph", "Tail", 0, 2)]
     O.write_text(spark.createDataFrame([("# T\n\nx",)], "text string"), str(tmp_path / "out"))
 

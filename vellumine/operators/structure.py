@@ -86,6 +86,21 @@ def is_cover_line(text: Column) -> Column:
     return text.contains("____") | text.contains("----") | ((T.word_count(text) < 12) & F.lower(text).rlike(P.alternatives(words)))
 
 
+def is_blank(text: Column, has_drawing: Column, has_math: Column) -> Column:
+    """A paragraph without text; one with a drawing or a formula is kept."""
+    return (T.strip(F.coalesce(text, F.lit(""))) == "") & ~F.coalesce(has_drawing, F.lit(False)) & ~F.coalesce(has_math, F.lit(False))
+
+
+def is_eligible(has_drawing: Column, has_math: Column) -> Column:
+    """Whether a paragraph's text may be replaced: it holds neither a drawing nor a formula."""
+    return ~F.coalesce(has_drawing, F.lit(False)) & ~F.coalesce(has_math, F.lit(False))
+
+
+def media_kind(text: Column, level: Column, has_drawing: Column, has_math: Column) -> Column:
+    """``paragraph_kind``, after drawings and formulas."""
+    return F.when(has_drawing, "drawing").when(has_math, "math").otherwise(paragraph_kind(text, level))
+
+
 def paragraph_kind(text: Column, level: Column) -> Column:
     leader = rf"\.{{4,}}{P.S}*(?:Page{P.S}*)?{P.D}+$"
     return F.when(text.rlike(P.FIGURE_CAPTION), "figure_caption").when(text.rlike(P.TABLE_CAPTION), "table_caption").when(F.lower(text) == "table of contents", "contents").when(text.rlike(leader), "leader_line").when(level > 0, "heading").when(is_markdown_table(text), "table").when(is_list_item(text), "list_item").when(is_cover_line(text), "cover").otherwise("body")

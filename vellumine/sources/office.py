@@ -192,9 +192,19 @@ def plain_text(data: bytes) -> str:
 READERS = {"docx": docx_text, "pptx": pptx_text, "pdf": pdf_text, "txt": plain_text, "md": plain_text}
 
 
-def read_documents(spark: SparkSession, path: str, tables: bool = True) -> DataFrame:
-    """``path, file_type, text, error`` of all files under a path whose type is known; files of no bytes give no rows."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{docx,pptx,pdf,txt,md,DOCX,PPTX,PDF,TXT,MD}").load(path).select("path", "content")
+_KINDS = "*.{docx,pptx,pdf,txt,md,DOCX,PPTX,PDF,TXT,MD}"
+
+
+def _files(spark: SparkSession, path: str, names: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path).select("path", "content")
+
+
+def parse_documents(files: DataFrame, tables: bool = True) -> DataFrame:
+    """``path, file_type, text, error`` of files given as ``path, content``; the type is the path's ending.
+
+    Of Word files ``tables`` says whether rows of tables follow the paragraphs. A file that cannot be read has a null text
+    and says why.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -210,10 +220,14 @@ def read_documents(spark: SparkSession, path: str, tables: bool = True) -> DataF
     return files.mapInPandas(read, "path string, file_type string, text string, error string")
 
 
-def read_docx_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of all docx files under a path, in document order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{docx,DOCX}").load(path).select("path", "content")
-    columns = ["path", "block_idx", "type", "text", "style", "level", "has_drawing", "has_math", "para_idx"]
+def read_documents(spark: SparkSession, path: str, tables: bool = True) -> DataFrame:
+    """``parse_documents`` of all docx, pptx, pdf, txt and md files under a path."""
+    return parse_documents(_files(spark, path, _KINDS), tables)
+
+
+def parse_docx_blocks(files: DataFrame) -> DataFrame:
+    """Blocks of Word files given as ``path, content``, in document order; a file that cannot be read gives one row with ``error``."""
+    columns = ["path", "block_idx", "type", "text", "style", "level", "has_drawing", "has_math", "para_idx", "error"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -221,12 +235,16 @@ def read_docx_blocks(spark: SparkSession, path: str) -> DataFrame:
             for name, data in zip(pdf["path"], pdf["content"]):
                 try:
                     rows += [{"path": name, **b} for b in docx_blocks(data)]
-                except Exception:  # read_documents reports files that can't be parsed
-                    continue
-            out = pd.DataFrame(rows, columns=columns)
-            yield out.astype({"para_idx": "Int64"})
+                except Exception as e:
+                    rows.append({"path": name, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
 
-    return files.mapInPandas(read, "path string, block_idx int, type string, text string, style string, level int, has_drawing boolean, has_math boolean, para_idx int")
+    return files.mapInPandas(read, "path string, block_idx int, type string, text string, style string, level int, has_drawing boolean, has_math boolean, para_idx int, error string")
+
+
+def read_docx_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of all docx files under a path, in document order."""
+    return parse_docx_blocks(_files(spark, path, "*.{docx,DOCX}"))
 
 
 def write_text(df: DataFrame, path: str, text: str = "text") -> None:
