@@ -21,8 +21,10 @@ def add(name: str, build, sql: str) -> None:
 
 
 # ---- files: each manuscript's data becomes a file in memory, which the readers read
-_title, _team, _file = F.coalesce("title", F.lit("untitled")), F.coalesce("team", F.lit("nobody")), F.coalesce("file_name", F.lit("none"))
-_markdown = lambda: F.concat(F.lit("# "), _title, F.lit("\n\n"), _team, F.lit("\n\n| file | team |\n| --- | --- |\n| "), _file, F.lit(" | "), _team, F.lit(" |"))
+_title = lambda: F.coalesce("title", F.lit("untitled"))
+_team = lambda: F.coalesce("team", F.lit("nobody"))
+_file = lambda: F.coalesce("file_name", F.lit("none"))
+_markdown = lambda: F.concat(F.lit("# "), _title(), F.lit("\n\n"), _team(), F.lit("\n\n| file | team |\n| --- | --- |\n| "), _file(), F.lit(" | "), _team(), F.lit(" |"))
 _t, _w, _f = "coalesce(title, 'untitled')", "coalesce(team, 'nobody')", "coalesce(file_name, 'none')"
 _nl = "chr(10) || chr(10)"
 
@@ -40,16 +42,16 @@ def _text_sql(kind: str, text: str) -> str:
     return f"SELECT doc_id, '{kind}' AS file_type, {text} AS text, NULL::VARCHAR AS error FROM manuscript"
 
 
-_ascii = lambda: F.regexp_replace(_title, r"[^\x20-\x7e]", "?")
+_ascii = lambda: F.regexp_replace(_title(), r"[^\x20-\x7e]", "?")
 add("struct_s01_pdf", lambda spark, d: _texts(_files(spark, d, "pdf", _ascii())), _text_sql("pdf", f"regexp_replace({_t}, '[^\\x20-\\x7e]', '?', 'g')"))
 add("struct_s02_word", lambda spark, d: _texts(_files(spark, d, "docx", _markdown())), _text_sql("docx", f"{_t} || {_nl} || {_w} || {_nl} || '| file | team |' || {_nl} || '| ' || {_f} || ' | ' || {_w} || ' |'"))
-add("struct_s03_slides", lambda spark, d: _texts(_files(spark, d, "pptx", _title)), _text_sql("pptx", f"'# Slide 1: Slide 1' || {_nl} || {_t}"))
+add("struct_s03_slides", lambda spark, d: _texts(_files(spark, d, "pptx", _title())), _text_sql("pptx", f"'# Slide 1: Slide 1' || {_nl} || {_t}"))
 add("struct_s05_paragraphs", lambda spark, d: _texts(_files(spark, d, "docx", _markdown()), tables=False), _text_sql("docx", f"{_t} || {_nl} || {_w}"))
 
 
 def struct_s04_plain(spark: SparkSession, d: str) -> DataFrame:
     """Plain text whose bytes are not all UTF-8: those that are not go."""
-    broken = F.concat(F.encode(_title, "utf-8"), F.unhex(F.lit("FFC3")), F.encode(F.lit(" end"), "utf-8"))
+    broken = F.concat(F.encode(_title(), "utf-8"), F.unhex(F.lit("FFC3")), F.encode(F.lit(" end"), "utf-8"))
     return _texts(table(spark, d, "manuscript").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), broken.alias("content")))
 
 
@@ -73,7 +75,7 @@ add(
 
 def struct_s07_unreadable(spark: SparkSession, d: str) -> DataFrame:
     """Files that are no Word files: a row each, which says so."""
-    files = table(spark, d, "manuscript").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), F.encode(_title, "utf-8").alias("content"))
+    files = table(spark, d, "manuscript").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), F.encode(_title(), "utf-8").alias("content"))
     return O.parse_docx_blocks(files).groupBy("error").agg(F.count("*").alias("files"))
 
 
