@@ -584,6 +584,40 @@ def test_broken_pairs(spark):
     assert P.broken_pairs(df.limit(0)).count() == 0
 
 
+def test_every_record_teaches(spark, monkeypatch):
+    monkeypatch.setattr(P, "DRIVER_ROWS", 100, raising=False)
+    rng = random.Random(8)
+    rows = [(i, *sound_pair(rng, "de" if i % 3 == 0 else "en"), "ok") for i in range(160)]
+    df = spark.createDataFrame(result_rows(*rows, *rows[:20]), RESULT)
+    one = P.train(df.repartition(1))
+    # each record is emptied once, whichever shard it is in
+    assert {k: n for k, _, _, _, n in one.report}["empty"] == 160
+    other = P.train(df.orderBy(F.desc("result_id")).repartition(5))
+    assert np.array_equal(one.weights, other.weights) and np.array_equal(one.thresholds, other.thresholds)
+    # one record's word reaches the weights
+    last = [(i, o, h.replace("samples", "zirconium"), s) if i == 158 else (i, o, h, s) for i, o, h, s in rows]
+    assert not np.array_equal(one.weights, P.train(spark.createDataFrame(result_rows(*last), RESULT)).weights)
+    found = P.broken_pairs(df)
+    assert found.count() == 160 and found.where("defect is not null").count() <= 2
+
+
+def test_each_is_broken_in_one_way():
+    rng = random.Random(8)
+    pairs = [sound_pair(rng, "de" if i % 3 == 0 else "en") for i in range(600)]
+    made = list(P._broken(pairs, P.Profiles(), 1, one_way=True))
+    labels = Counter(x[2] for m in made for x, _ in m)
+    assert len(made) == 600 and set(labels) == {"", *P.LABELS} and min(labels.values()) > 20
+    assert all(len({x[2] for x, _ in m} - {""}) <= 1 and all(0 <= j < 600 for _, j in m) for m in made)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text(alphabet="ab cé。", max_size=60), min_size=1, max_size=5))
+def test_packed_features(texts):
+    x = P.Reader(P.Profiles()).pairs([t[::-1] for t in texts], texts, [P._end(t) for t in texts])
+    again = P.unpacked(P.packed(x))
+    assert np.array_equal(x[:, P.WIDTH :], again[:, P.WIDTH :]) and np.allclose(x, again, atol=1e-3)
+
+
 # ---- queries
 def test_entry_adds_these_queries():
     import __spark_entry__ as E
