@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -601,6 +602,47 @@ def test_every_record_teaches(spark, monkeypatch):
     assert found.count() == 160 and found.where("defect is not null").count() <= 2
 
 
+def test_only_texts_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(P, "DRIVER_ROWS", 100)
+    rng = random.Random(8)
+    rows = result_rows(*((i, *sound_pair(rng, "de" if i % 3 == 0 else "en"), "ok") for i in range(160)))
+    texts = sum(len(t.encode()) for r in rows for t in r if isinstance(t, str))
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in stages_of(spark)}
+    before = stages()
+    assert P.broken_pairs(spark.createDataFrame(rows, RESULT)).count() == 160
+    # the features of some 2,500 examples, each larger than its texts, stay where they are made
+    assert sum(n for i, n in stages().items() if i not in before) < 6 * texts
+
+
+def stages_of(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_records_delivered_twice_are_read_as_delivered_last(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, *sound_pair(rng, "de" if i % 3 == 0 else "en"), "ok") for i in range(160)]
+    # two deliveries at one time: the greater texts count, and how these end
+    twice = [(158, "", "", "ok"), (159, rows[159][1], None, "ok")]
+    for limit in (100, 500):
+        monkeypatch.setattr(P, "DRIVER_ROWS", limit)
+        found = P.broken_pairs(spark.createDataFrame(result_rows(*rows, *twice), RESULT)).where("result_id >= 158").collect()
+        assert sorted((r.result_id, r.defect) for r in found) == [(158, None), (159, None)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab A.\n#-\"。กั\U00011f43\u200b1", max_size=80))
+def test_last_unit(text):
+    assert S.last_unit(text) == S.sentence_units(text)[-1:]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=40))
+def test_plain_text_by_its_changed_characters(text):
+    assert L.plain(text) == unicodedata.normalize("NFD", text.translate(L._FORMS))
+
+
 def test_each_is_broken_in_one_way():
     rng = random.Random(8)
     pairs = [sound_pair(rng, "de" if i % 3 == 0 else "en") for i in range(600)]
